@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import op01_urls, op02_simhash
+from tallyforge.llm import op01_urls, op02_simhash, op03_language, op05_packing, op07_rules, op08_shards
 
 QUERIES = {
     "op1_url_filter": op01_urls.op1_url_filter,
     "op2_simhash_dedup": op02_simhash.op2_simhash_dedup,
+    "op3_compression_language_id": op03_language.op3_compression_language_id,
+    "op5_sum_of_squares_packing": op05_packing.op5_sum_of_squares_packing,
+    "op7_isolation_rules": op07_rules.op7_isolation_rules,
+    "op8_external_shuffle": op08_shards.op8_external_shuffle,
 }
 
 ORACLES = {
