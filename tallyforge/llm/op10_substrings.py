@@ -3,153 +3,240 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallyforge.llm.common import batch_of, binary_cells, stored, table
+from tallyforge.llm.common import batch_of, binary_cells, table
 
 WIDTH = 13
-#: Cells of the sketch: a power of two with this many for each window, up to the bound.
-CELLS_PER_WINDOW, LEAST_CELLS, MOST_CELLS = 2, 1 << 16, 1 << 29
-#: Cells that one row of a partition's sketch carries.
+#: Words of the grams by whose counts windows are estimated.
+GRAM = 5
+#: The sketch has ROWS rows; cells of a row: a power of two of about this many for each window, up to the bound.
+ROWS, CELLS_PER_WINDOW, LEAST_CELLS, MOST_CELLS = 2, 0.5, 1 << 16, 1 << 29
+#: Cells that one shuffled record of a partition's sketch carries.
 PART = 1 << 21
-_FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(WIDTH)], dtype=np.uint64)
-_FACTORS2 = np.array([pow(0xC2B2AE3D27D4EB4F, i + 1, 1 << 64) for i in range(WIDTH)], dtype=np.uint64)
+#: Words that a task hashes at once.
+CHUNK = 1 << 19
+#: Bits of a text's checksum that tell rows of one doc_id apart.
+MARK = (1 << 30) - 1
+_M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+
+
+@lru_cache(maxsize=8)
+def _powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """factor^i and factor^-i modulo 2^64, for i below n."""
+    up, down = np.full(n, factor, dtype=np.uint64), np.full(n, pow(factor, -1, 1 << 64), dtype=np.uint64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def _rolling(words: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` words, from differences of one running sum."""
+    up, down = _powers(factor, 1 << max(10, len(words).bit_length()))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    return _mixed((sums[width:] - sums[:-width]) * down[: len(words) - width + 1])
+
+
+class Chunk:
+    """Words of several documents one after the other, and which positions begin a window that lies in one document."""
+
+    def __init__(self, parts: list[tuple[int, int, int, list[bytes]]], known: dict[bytes, int], width: int):
+        """parts: document id, mark of its text, place of the first word, words."""
+        sizes = np.array([len(p[-1]) for p in parts], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        hashes = [known[w] for p in parts for w in p[-1]]
+        self.words, self.width = np.array(hashes, dtype=np.uint64), width
+        which = np.repeat(np.arange(len(parts)), sizes)
+        n = max(0, len(hashes) - width + 1)
+        at = np.arange(n)
+        self.at = at[at + width <= ends[which[:n]]]
+        self.doc, self.mark, start = (np.array([p[k] for p in parts], dtype=np.int64)[which[self.at]] for k in range(3))
+        self.place = self.at - (ends - sizes)[which[self.at]] + start
+
+    def keys(self) -> np.ndarray:
+        """Of each window, the least hash of its grams: equal windows have equal keys, and neighbours often share theirs."""
+        gram = min(GRAM, self.width)
+        h = _rolling(self.words, gram, _M3)
+        n = len(self.words) - self.width + 1
+        least = h[:n].copy()
+        for i in range(1, self.width - gram + 1):
+            np.minimum(least, h[i : i + n], out=least)
+        return least[self.at]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
+    """Chunks of about CHUNK words from batches of (doc_id, text). A longer text is cut into parts that overlap by a window."""
+    known: dict[bytes, int] = {}
+    parts, n = [], 0
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), binary_cells(batch.column(1))):
+            words = text.split() if text else []
+            if len(words) < width:
+                continue
+            for w in set(words).difference(known):
+                known[w] = digest(w)
+            for start in range(0, len(words) - width + 1, CHUNK):
+                part = words[start : start + CHUNK + width - 1] if len(words) > CHUNK else words
+                parts.append((doc_id, zlib.crc32(text) & MARK, start, part))
+                n += len(part)
+                if n >= CHUNK:
+                    yield Chunk(parts, known, width)
+                    parts, n = [], 0
+            if len(known) > 1_000_000:
+                if parts:
+                    yield Chunk(parts, known, width)
+                parts, n = [], 0
+                known.clear()
+    if parts:
+        yield Chunk(parts, known, width)
 
 
-class WindowHasher:
-    """Two independent 64-bit hashes of each window of a text's words. Words are hashed once and remembered for a while."""
+def _cells(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
+    """Cell of each key in a row of the sketch. The keys are minima, so small: they are mixed again."""
+    return (_mixed(keys * np.uint64(_M1 if row else _M2)) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
-    def __init__(self, width: int = WIDTH, most: int = 1_000_000):
-        self.width, self.most, self.known = width, most, {}
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            found = [known[w] for w in words]
-        return np.array(found, dtype=np.uint64)
+class Counters:
+    """A row of a count-min sketch whose counters stop at two: bits ``one`` and ``two`` say that so many were counted."""
 
-    @staticmethod
-    def _mixed(h: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return h ^ (h >> np.uint64(32))
+    def __init__(self, cells: int):
+        self.one, self.two = np.zeros(cells // 8, dtype=np.uint8), np.zeros(cells // 8, dtype=np.uint8)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        n = len(words) - self.width + 1
-        if n <= 0:
-            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-        w = self.words(words)
-        one, two = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-        other = self._mixed(w)
-        for i in range(self.width):
-            one += w[i : i + n] * _FACTORS[i % WIDTH]
-            two += other[i : i + n] * _FACTORS2[i % WIDTH]
-        return self._mixed(one), self._mixed(two)
+    @staticmethod
+    def _set(bits: np.ndarray, cells: np.ndarray) -> None:
+        """cells: sorted and different."""
+        if len(cells):
+            byte = cells >> 3
+            first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+            bits[byte[first]] |= np.bitwise_or.reduceat((128 >> (cells & 7)).astype(np.uint8), first)
 
+    @staticmethod
+    def has(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return (bits[cells >> 3] & (128 >> (cells & 7)).astype(np.uint8)) > 0
 
-def _cell(h: np.ndarray, cells: int) -> np.ndarray:
-    return (h >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
+    def add(self, cells: np.ndarray) -> None:
+        cells, counts = np.unique(cells, return_counts=True)
+        self._set(self.two, cells[(counts > 1) | self.has(self.one, cells)])
+        self._set(self.one, cells)
 
 
 def sketch(docs: DataFrame, width: int, cells: int) -> np.ndarray:
-    """Packed bits of the cells that count two or more documents, out of a count-min sketch of one row over all windows.
+    """For each row of the sketch, a bit a cell: whether it counts two or more.
 
-    A partition counts a window once a document and stops a counter at two, so a counter is two bits. Partitions' counters are
-    added up by the shuffle, part by part of the cells; what reaches the driver is a bit a cell, MOST_CELLS bits at most.
+    A window is counted by its key, once for each run of windows that share it, so a window's estimate is never below the
+    number of documents that it is in. Partitions' counters are added up by the shuffle, part by part; what reaches the
+    driver, and is broadcast, is ROWS * MOST_CELLS bits at most, whatever the corpus.
     """
     part = min(PART, cells)
     schema = pa.schema([("part", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, hasher = np.zeros(cells, dtype=bool), np.zeros(cells, dtype=bool), WindowHasher(width)
-        for batch in batches:
-            for text in binary_cells(batch.column(0)):
-                h, _ = hasher(text.split() if text else [])
-                if len(h):
-                    at = np.unique(_cell(np.unique(h), cells), return_counts=True)
-                    two[at[0][one[at[0]] | (at[1] > 1)]] = True
-                    one[at[0]] = True
+        rows = [Counters(cells) for _ in range(ROWS)]
+        for chunk in chunks(batches, width):
+            keys = chunk.keys()
+            if len(keys):
+                fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (chunk.doc[1:] != chunk.doc[:-1])])
+                for k, row in enumerate(rows):
+                    row.add(_cells(keys[fresh], k, cells))
         pack = zstandard.ZstdCompressor(level=1).compress
-        for k in range(0, cells, part):
-            if one[k : k + part].any():
-                yield batch_of(schema, ([k // part], *([pack(np.packbits(x[k : k + part]).tobytes())] for x in (one, two))))
+        for k, row in enumerate(rows):
+            for at in range(0, cells // 8, part // 8):
+                if (one := row.one[at : at + part // 8]).any():
+                    yield batch_of(schema, ([(k * cells + 8 * at) // part], [pack(one.tobytes())], [pack(row.two[at : at + part // 8].tobytes())]))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         unpack = lambda b: np.frombuffer(zstandard.decompress(b), dtype=np.uint8)
         for batch in batches:
             for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = unpack(a), unpack(b)
                 if k in held:
                     one, two = held[k]
-                    held[k] = [one | a, two | b | (one & a)]
-                else:
-                    held[k] = [a, b]
+                    a, b = one | a, two | b | (one & a)
+                held[k] = a, b
         for k, (_, two) in held.items():
             if two.any():
                 yield batch_of(schema, ([k], [b""], [zstandard.compress(two.tobytes(), 1)]))
 
     ddl = "part int, one binary, two binary"
-    parts = docs.select("text").mapInArrow(counted, ddl).repartition("part").mapInArrow(merged, ddl).select("part", "two")
-    bits = np.zeros(cells // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    parts = docs.select("doc_id", "text").mapInArrow(counted, ddl).repartition("part").mapInArrow(merged, ddl).select("part", "two")
+    bits = np.zeros(ROWS * cells // 8, dtype=np.uint8)
+    for row in parts.collect():
         bits[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(zstandard.decompress(row.two), dtype=np.uint8)
-    return bits
+    return bits.reshape(ROWS, cells // 8)
+
+
+def _runs(doc: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, mark, first position, number) of the runs of consecutive positions."""
+    order = np.lexsort((at, mark, doc))
+    doc, mark, at = doc[order], mark[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (at[1:] != at[:-1] + 1)]))
+    return doc[first], mark[first], at[first], np.diff(np.append(first, len(at)))
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, cells: int | None = None) -> DataFrame:
-    """(doc_id, spans): the windows of each document whose word sequence also starts in a document with a smaller doc_id, as
-    first positions. Windows that the sketch counts once are in no other document; all others are grouped exactly."""
+    """(doc_id, mark, spans): the windows of each document whose word sequence also starts in a document with a smaller doc_id, as
+    arrays of (first position, number of windows). Windows that the sketch counts once are in no other document; all others
+    are grouped exactly, by 96 bits of two hashes."""
     if cells is None:
         # a word takes six bytes or so; a wrong guess costs time, never a window
         n_windows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
         cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(CELLS_PER_WINDOW * n_windows).bit_length()))
     held = docs.sparkSession.sparkContext.broadcast(sketch(docs, width, cells))
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hasher = held.value, WindowHasher(width)
-        for batch in batches:
-            found = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_cells(batch.column(1))):
-                h1, h2 = hasher(text.split() if text else [])
-                cell = _cell(h1, cells)
-                at = np.flatnonzero(bits[cell >> 3] & (128 >> (cell & 7)))
-                if len(at):
-                    found.append((h1[at].view(np.int64), h2[at].view(np.int64), np.full(len(at), doc_id, dtype=np.int64), at.astype(np.int32)))
-                if len(found) >= 1000:
-                    yield batch_of(schema, map(np.concatenate, zip(*found)))
-                    found = []
-            if found:
-                yield batch_of(schema, map(np.concatenate, zip(*found)))
-
-    rows = docs.select("doc_id", "text").mapInArrow(estimated, "h1 long, h2 long, doc_id long, at int")
-    # the windows are read twice, by the grouping and by the join, and made once
-    rows = stored(rows)
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    later = rows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).filter("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("spans"))  # as many as the document has windows, at most
-
-
-def kept_words(words: list[bytes], spans, width: int = WIDTH) -> list[bytes]:
-    gone = np.zeros(len(words) + 1, dtype=np.int64)
-    at = np.asarray(spans, dtype=np.int64)
-    np.add.at(gone, at, 1)
-    np.add.at(gone, at + width, -1)
-    return [w for w, n in zip(words, np.cumsum(gone).tolist()) if not n]
+        """A row for each window that may be in another chunk too, of the smallest document of the chunk that has it: n is the
+        text's mark, as -1 - mark. Larger documents are settled here, as runs of n windows with the mark in h2. So a
+        window's rows are one a chunk, however often it is copied."""
+        bits = held.value
+        for chunk in chunks(batches, width):
+            keys = chunk.keys()
+            maybe = np.flatnonzero(np.logical_and.reduce([Counters.has(bits[k], _cells(keys, k, cells)) for k in range(ROWS)]))
+            if not len(maybe):
+                continue
+            at = chunk.at[maybe]
+            h1, h2 = _rolling(chunk.words, width, _M1)[at], (_rolling(_mixed(chunk.words), width, _M2)[at] >> np.uint64(32)).astype(np.uint32)
+            doc, mark, place = chunk.doc[maybe], chunk.mark[maybe], chunk.place[maybe]
+            order = np.lexsort((doc, h2, h1))
+            h1, h2, doc, mark, place = (x[order] for x in (h1, h2, doc, mark, place))
+            fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+            open_ = doc == least
+            yield batch_of(schema, (h1[open_].view(np.int64), h2[open_].view(np.int32), doc[open_], place[open_].astype(np.int32), (-1 - mark[open_]).astype(np.int32)))
+            if not open_.all():
+                doc, mark, first, n = _runs(doc[~open_], mark[~open_], place[~open_])
+                yield batch_of(schema, (_mixed(doc.view(np.uint64)).view(np.int64), mark.astype(np.int32), doc, first.astype(np.int32), n.astype(np.int32)))
+
+    rows = docs.select("doc_id", "text").mapInArrow(estimated, "h1 long, h2 int, doc_id long, at int, n int")
+    first = F.min(F.when(F.col("n") < 0, F.col("doc_id"))).over(Window.partitionBy("h1", "h2"))
+    later = rows.withColumn("first", first).filter("n > 0 or doc_id > first")
+    spans = F.collect_list(F.struct("at", F.greatest("n", F.lit(1)).alias("n")))  # as many as the document has windows, at most
+    return later.groupBy("doc_id", F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("h2")).alias("mark")).agg(spans.alias("spans"))
+
+
+def kept_words(words: list[bytes], spans: list[dict], width: int = WIDTH) -> list[bytes]:
+    """The words that no window of the spans covers."""
+    at = np.array([s["at"] for s in spans], dtype=np.int64)
+    ends = np.minimum(at + np.array([s["n"] for s in spans], dtype=np.int64) + width - 1, len(words))
+    depth = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(depth, np.minimum(at, len(words)), 1)
+    np.add.at(depth, ends, -1)
+    return [w for w, n in zip(words, np.cumsum(depth).tolist()) if not n]
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, cells: int | None = None) -> DataFrame:
@@ -158,12 +245,14 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, cells: int | None = Non
 
     A word is removed if a window of ``width`` words covers it whose word sequence also starts in a document with a smaller
     doc_id; windows are judged on the input. Null and empty texts, and those of under ``width`` words, have no window.
-    Rows with the same doc_id are parts of one document; a null doc_id is neither smaller nor larger than another, so its
-    rows keep their words and take none from others. Columns of docs other than doc_id and text pass through.
+    Rows with the same doc_id take no words from one another, whether their texts are equal or not. A null doc_id is neither
+    smaller nor larger than another, so its rows keep their words and take none from others. Columns of docs other than
+    doc_id and text pass through.
     """
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_windows(known, width, cells)
-    rows = docs.withColumn("_key", F.col("doc_id").cast("long")).join(spans.withColumnRenamed("doc_id", "_key").withColumnRenamed("spans", "_spans"), "_key", "left").drop("_key")
+    spans = repeated_windows(known, width, cells).select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
+    mark = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(MARK)).cast("int")
+    rows = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_mark", mark).join(spans, ["_key", "_mark"], "left").select(*docs.columns, "_spans")
     out = rows.schema.fieldNames()
     text_at, spans_at = out.index("text"), out.index("_spans")
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_n_words bigint", "_n_removed bigint"])
@@ -173,7 +262,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, cells: int | None = Non
             texts, n_words, n_removed = [], [], []
             for text, at in zip(binary_cells(batch.column(text_at)), batch.column(spans_at).to_pylist()):
                 words = text.split() if text else []
-                kept = kept_words(words, [a for a in at if a <= len(words) - width], width) if at else words
+                kept = kept_words(words, at, width) if at else words
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 texts.append(text if len(kept) == len(words) else b" ".join(kept))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import op01_urls, op02_simhash, op03_language, op05_packing, op07_rules, op08_shards
+from tallyforge.llm import op01_urls, op02_simhash, op03_language, op05_packing, op07_rules, op08_shards, op10_substrings
 
 QUERIES = {
     "op1_url_filter": op01_urls.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sum_of_squares_packing": op05_packing.op5_sum_of_squares_packing,
     "op7_isolation_rules": op07_rules.op7_isolation_rules,
     "op8_external_shuffle": op08_shards.op8_external_shuffle,
+    "op10_substring_dedup": op10_substrings.op10_substring_dedup,
 }
 
 ORACLES = {
