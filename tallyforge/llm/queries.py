@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import op01_urls, op02_simhash, op03_language, op05_packing, op07_rules, op08_shards, op10_substrings
+from tallyforge.llm import op01_urls, op02_simhash, op03_language, op05_packing, op06_contamination, op07_rules, op08_shards, op10_substrings
 
 QUERIES = {
     "op1_url_filter": op01_urls.op1_url_filter,
     "op2_simhash_dedup": op02_simhash.op2_simhash_dedup,
     "op3_compression_language_id": op03_language.op3_compression_language_id,
     "op5_sum_of_squares_packing": op05_packing.op5_sum_of_squares_packing,
+    "op6_benchmark_decontamination": op06_contamination.op6_benchmark_decontamination,
     "op7_isolation_rules": op07_rules.op7_isolation_rules,
     "op8_external_shuffle": op08_shards.op8_external_shuffle,
     "op10_substring_dedup": op10_substrings.op10_substring_dedup,
@@ -16,4 +17,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": op01_urls.ORACLE,
+    "op6_benchmark_decontamination": op06_contamination.ORACLE,
 }
