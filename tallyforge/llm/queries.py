@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import op01_urls, op02_simhash, op03_language, op05_packing, op06_contamination, op07_rules, op08_shards, op10_substrings
+from tallyforge.llm import op01_urls, op02_simhash, op03_language, op05_packing, op06_contamination, op07_rules, op08_shards, op09_quality, op10_substrings
 
 QUERIES = {
     "op1_url_filter": op01_urls.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op06_contamination.op6_benchmark_decontamination,
     "op7_isolation_rules": op07_rules.op7_isolation_rules,
     "op8_external_shuffle": op08_shards.op8_external_shuffle,
+    "op9_line_crf_quality": op09_quality.op9_line_crf_quality,
     "op10_substring_dedup": op10_substrings.op10_substring_dedup,
 }
 
