@@ -1,6 +1,5 @@
 """All queries that the library registers, by name, and the SQL that each must agree with."""
 
-from __future__ import annotations
+from tallyforge.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
