@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from tallyforge.functions import fixed
-from tallyforge.functions.text import ascii_digits, squash_literal, squash_normalised, strip
+from tallyforge.functions.text import ascii_digits, squash, squash_literal, squash_normalised, strip
 
 
-def document_type_code(title: Column, fold=squash_normalised) -> Column:
+def document_type_code(title: Column, fold=squash) -> Column:
     """The first document type whose words the heading has; empty if none."""
     text = fold(title)
     has = lambda words: [F.contains(text, F.lit(squash_literal(w))) for w in words]
@@ -21,7 +21,7 @@ def document_type_code(title: Column, fold=squash_normalised) -> Column:
     return code.otherwise("")
 
 
-def branch_code(branch: Column, fold=squash_normalised) -> Column:
+def branch_code(branch: Column, fold=squash) -> Column:
     """Five digits: the first printed number that is not zero; 00000 for a head office or for zeros alone; empty if neither."""
     text = strip(F.coalesce(branch, F.lit("")))
     runs = F.filter(F.split(ascii_digits(text), r"[^0-9]+"), lambda r: (F.length(r) >= 1) & (F.length(r) <= fixed.BRANCH_WIDTH))

@@ -349,7 +349,7 @@ def judged_parts(spark, sf_dir) -> DataFrame:
         .when(k == 4, F.when(F.col("p_size") > 25, "").otherwise("5")).when(k == 5, F.concat(size, F.lit(".00"))).when(k == 6, F.col("p_type")).otherwise("  ")
     )
     rows = load(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("doc_id"), F.concat(F.lit("p"), (F.col("p_partkey") % 2 + 1).cast("string")).alias("tier"), expected.alias("expected"), actual.alias("actual"))
-    return rows.withColumn("status", judge.judge(F.col("expected"), F.col("actual")))
+    return rows.withColumn("status", judge.judge(F.col("expected"), F.col("actual"), text.squash_normalised))
 
 
 _JUDGED = """WITH judged AS (SELECT p_partkey, p_brand AS doc_id, 'p' || (p_partkey % 2 + 1) AS tier, CASE p_partkey % 8 WHEN 0 THEN 'correct' WHEN 1 THEN 'partial' WHEN 2 THEN 'missed' WHEN 3 THEN 'spurious'
@@ -452,7 +452,7 @@ _LISTED = "[" + ", ".join(f"'{v}'" for v in _CODES) + "]"
 @query(f"SELECT o_orderkey, {_LISTED}[CAST(o_orderkey % 8 AS INTEGER) + 1] AS code FROM orders")
 def classify_headings(spark, sf_dir):
     title = _pick(F.col("o_orderkey"), _TITLES)
-    return load(spark, sf_dir, "orders").select("o_orderkey", derive.document_type_code(title).alias("code"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", derive.document_type_code(title, text.squash_normalised).alias("code"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN '00000' WHEN 2 THEN '' ELSE '' END AS branch,
@@ -463,7 +463,7 @@ def branch_codes(spark, sf_dir):
     branch = F.when(k % 4 == 0, F.concat(F.lit("Head Office, branch "), n)).when(k % 4 == 1, "HEAD OFFICE").when(k % 4 == 2, "(Main road)").otherwise("1234567890123")
     digits = F.concat(F.lpad(k.cast("string"), 11, "0"), F.when(k % 3 == 0, "").otherwise("7"))
     tax = F.concat(F.lit("0-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 20))
-    return load(spark, sf_dir, "customer").select("c_custkey", derive.branch_code(branch).alias("branch"), derive.tax_id_digits(tax).alias("digits"), derive.tax_id_valid(tax).alias("valid"))
+    return load(spark, sf_dir, "customer").select("c_custkey", derive.branch_code(branch, text.squash_normalised).alias("branch"), derive.tax_id_digits(tax).alias("digits"), derive.tax_id_valid(tax).alias("valid"))
 
 
 @query("""SELECT l_orderkey AS doc_id, CAST(count(DISTINCT l_partkey) + 1 AS INTEGER) AS n_references, 'R-' || l_orderkey AS first FROM lineitem GROUP BY l_orderkey""")
@@ -504,9 +504,9 @@ ORACLES["table_rows"] = "SELECT l_orderkey AS doc_id, count(*) AS kept, CAST(1 A
 # ---- sets and rollups ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
 def spurious_rows_anti(spark, sf_dir):
-    return match.spurious_rows(load(spark, sf_dir, "customer").select("c_custkey"), load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return match.spurious_rows(load(spark, sf_dir, "orders").select("o_orderkey"), load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
 
 
 @query("SELECT 'order' AS kind, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'line', l_linestatus, count(*) FROM lineitem GROUP BY 2")
