@@ -82,12 +82,12 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by, F.lit(0))
 
 
-def smallest_hashed(df: DataFrame, key: str, by: list[str], n: int, seed: int) -> DataFrame:
-    """At most n rows for each value of ``by``, those whose hashed key is smallest: a sample that does not depend on how rows
-    are dealt out. Spark trims each task to n rows a group before it shuffles them."""
+def smallest_hashed(df: DataFrame, key: str, by: list[str], n: int, seed: int, first: Column | None = None) -> DataFrame:
+    """At most n rows for each value of ``by``, those whose hashed key is smallest, after those that ``first`` puts first: a sample that
+    does not depend on how rows are dealt out. Spark trims each task to n rows a group before it shuffles them."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    order = Window.partitionBy(*by).orderBy(F.lit(0) if first is None else first, F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 

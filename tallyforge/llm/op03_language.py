@@ -33,11 +33,12 @@ def plain(text: str) -> bytes:
 
 
 def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = DICTIONARY, seed: int = SEED) -> dict[str, bytes]:
-    """A raw-content dictionary for each language of docs: whole texts, letters only. Bounded by ``sample`` documents and ``size`` bytes a language."""
-    # texts that a dictionary cannot hold would leave room for nothing else
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= size // 4))
-    chosen = smallest_hashed(known.select("doc_id", F.col(lang).alias("lang")).filter("doc_id is not null"), "doc_id", ["lang"], sample, seed)
-    rows = known.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    """A raw-content dictionary for each language of docs: whole texts, letters only, long ones
+    as far as there is room and where there are no others. Bounded by ``sample`` documents and ``size`` bytes a language."""
+    known = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).filter("doc_id is not null and lang is not null and text is not null")
+    # long texts would leave room for few others
+    chosen = smallest_hashed(known.withColumn("long", F.octet_length("text") > size // 4).drop("text"), "doc_id", ["lang"], sample, seed, F.col("long")).drop("long")
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("text", F.left("text", F.lit(size))).collect()
     made: dict[str, bytes] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
         if len(held := made.get(row.lang, b"")) < size:
