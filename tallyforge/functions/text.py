@@ -11,7 +11,7 @@ from tallyforge.functions import fixed
 
 #: White space as Python's str.strip and \\s have it: Java's class lacks the four separators.
 SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _form(kind: str):
@@ -31,7 +31,7 @@ def nfc(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Without white space at either end; null stays null."""
-    return F.regexp_replace(col, _EDGES, "")
+    return F.btrim(col, F.lit(_WHITE))
 
 
 def ascii_digits(col: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyforge.functions import fixed
+from tallyforge.functions.lets import bound
 from tallyforge.functions.text import SPACE, is_blank, lines, squash_literal, squash_normalised, strip
 
 _NO_CELLS = "array<string>"
@@ -13,9 +14,9 @@ _NO_CELLS = "array<string>"
 def cells(line: Column) -> Column:
     """Cells of a row: outer pipes dropped, breaks as spaces, escaped pipes plain."""
     parts = F.split(strip(line), r"(?<!\\)\|")
-    headless = F.when(is_blank(F.get(parts, F.lit(0))), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    bare = F.when((F.size(headless) > 0) & is_blank(F.element_at(headless, -1)), F.slice(headless, 1, F.greatest(F.size(headless) - 1, F.lit(0)))).otherwise(headless)
-    return F.transform(bare, lambda c: strip(F.replace(F.regexp_replace(c, r"<br\s*/?>", " "), F.lit("\\|"), F.lit("|"))))
+    head = lambda p: F.when(is_blank(F.get(p, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p)
+    tail = lambda p: F.when((F.size(p) > 0) & is_blank(F.get(p, F.size(p) - 1)), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p)
+    return F.transform(bound(bound(parts, head), tail), lambda c: strip(F.replace(F.regexp_replace(c, r"<br\s*/?>", " "), F.lit("\\|"), F.lit("|"))))
 
 
 def find_tables(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,9 +32,9 @@ def find_tables(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
         return F.struct(F.when(piped, grown).otherwise(s["blocks"]).alias("blocks"), piped.alias("open"))
 
     blocks = F.aggregate(lines(F.coalesce(F.col(text), F.lit(""))), state, step)["blocks"]
-    rule = lambda b: F.filter(cells(F.get(b, F.lit(1))), lambda c: c != "")
     # a rule has at least one cell, and every cell that is not empty is dashes
-    ruled = lambda b: (F.size(b) >= 3) & (F.size(cells(F.get(b, F.lit(1)))) > 0) & F.forall(rule(b), lambda c: c.rlike(r"\A:?-{2,}:?\z"))
+    dashes = lambda cs: (F.size(cs) > 0) & F.forall(cs, lambda c: (c == "") | c.rlike(r"\A:?-{2,}:?\z"))
+    ruled = lambda b: (F.size(b) >= 3) & bound(cells(F.get(b, F.lit(1))), dashes)
     found = docs.select(doc, F.posexplode(F.filter(blocks, ruled)).alias("pos", "block"))
     body = F.transform(F.slice("block", 3, F.greatest(F.size("block") - 2, F.lit(0))), cells)
     return found.select(doc, "pos", cells(F.get("block", F.lit(0))).alias("header"), body.alias("rows"))
@@ -67,8 +68,9 @@ def item_rows(tables: DataFrame, fold=squash_normalised, doc: str = "doc_id", ov
     """(doc, row, kept, why, and a column for each item key) from each document's charge table: the one with the most named columns, then
     the most rows, then the first; under two named columns there is none. Rows that total others, have figures without a
     description, or no figure at all are not kept."""
-    keyed = tables.withColumn("keys", heading_keys(F.col("header"), overrides, fold))
-    keyed = keyed.withColumn("n", F.size(F.array_compact("keys"))).filter("n >= 2")
+    named = bound(heading_keys(F.col("header"), overrides, fold), lambda k: F.struct(k.alias("keys"), F.size(F.array_compact(k)).alias("n")))
+    # the outer explode keeps the filter from working the keys out again
+    keyed = tables.select("*", F.explode_outer(F.array(named)).alias("k")).select("*", "k.keys", "k.n").drop("k").filter("n >= 2")
     best = Window.partitionBy(doc).orderBy(F.desc("n"), F.desc(F.size("rows")), "pos")
     charge = keyed.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
     rows = charge.select(doc, "header", "keys", F.posexplode("rows").alias("row", "cells"))
