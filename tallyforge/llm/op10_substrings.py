@@ -18,12 +18,14 @@ from tallyforge.llm.common import batch_of, binary_cells, table
 WIDTH = 13
 #: Words of the grams by whose counts windows are estimated.
 GRAM = 5
-#: The sketch has ROWS rows; cells of a row: a power of two of about this many for each window, up to the bound.
+#: The sketch has ROWS rows, one for each of a window's two keys; cells of a row: a power of two of about this many for each window, up to the bound.
 ROWS, CELLS_PER_WINDOW, LEAST_CELLS, MOST_CELLS = 2, 0.5, 1 << 16, 1 << 29
 #: Cells that one shuffled record of a partition's sketch carries.
 PART = 1 << 21
 #: Words that a task hashes at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
+#: Words whose hashes a task remembers, and documents whose texts it unpacks at a time.
+MEMORY, ROWS_AT_ONCE = 1 << 16, 256
 #: Bits of a text's checksum that tell rows of one doc_id apart.
 MARK = (1 << 30) - 1
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -66,15 +68,17 @@ class Chunk:
         self.doc, self.mark, start = (np.array([p[k] for p in parts], dtype=np.int64)[which[self.at]] for k in range(3))
         self.place = self.at - (ends - sizes)[which[self.at]] + start
 
-    def keys(self) -> np.ndarray:
-        """Of each window, the least hash of its grams: equal windows have equal keys, and neighbours often share theirs."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window, the least and the greatest hash of its grams: equal windows have equal keys, and neighbours often share
+        theirs, so there are far fewer keys to count than windows."""
         gram = min(GRAM, self.width)
         h = _rolling(self.words, gram, _M3)
         n = len(self.words) - self.width + 1
-        least = h[:n].copy()
+        least, most = h[:n].copy(), h[:n].copy()
         for i in range(1, self.width - gram + 1):
             np.minimum(least, h[i : i + n], out=least)
-        return least[self.at]
+            np.maximum(most, h[i : i + n], out=most)
+        return least[self.at], most[self.at]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
@@ -82,7 +86,7 @@ def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
     known: dict[bytes, int] = {}
     parts, n = [], 0
     digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
+    for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
         for doc_id, text in zip(batch.column(0).to_pylist(), binary_cells(batch.column(1))):
             words = text.split() if text else []
             if len(words) < width:
@@ -96,7 +100,7 @@ def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
                 if n >= CHUNK:
                     yield Chunk(parts, known, width)
                     parts, n = [], 0
-            if len(known) > 1_000_000:
+            if len(known) > MEMORY:
                 if parts:
                     yield Chunk(parts, known, width)
                 parts, n = [], 0
@@ -106,7 +110,7 @@ def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Chunk]:
 
 
 def _cells(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
-    """Cell of each key in a row of the sketch. The keys are minima, so small: they are mixed again."""
+    """Cell of each key in its row of the sketch. The keys are minima and maxima: they are mixed again."""
     return (_mixed(keys * np.uint64(_M1 if row else _M2)) >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
 
@@ -137,8 +141,8 @@ class Counters:
 def sketch(docs: DataFrame, width: int, cells: int) -> np.ndarray:
     """For each row of the sketch, a bit a cell: whether it counts two or more.
 
-    A window is counted by its key, once for each run of windows that share it, so a window's estimate is never below the
-    number of documents that it is in. Partitions' counters are added up by the shuffle, part by part; what reaches the
+    A window is counted by its keys, once for each run of windows that share one, so either row's estimate is never below the
+    number of documents that the window is in. Partitions' counters are added up by the shuffle, part by part; what reaches the
     driver, and is broadcast, is ROWS * MOST_CELLS bits at most, whatever the corpus.
     """
     part = min(PART, cells)
@@ -147,10 +151,9 @@ def sketch(docs: DataFrame, width: int, cells: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [Counters(cells) for _ in range(ROWS)]
         for chunk in chunks(batches, width):
-            keys = chunk.keys()
-            if len(keys):
-                fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (chunk.doc[1:] != chunk.doc[:-1])])
-                for k, row in enumerate(rows):
+            for k, (row, keys) in enumerate(zip(rows, chunk.keys())):
+                if len(keys):
+                    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (chunk.doc[1:] != chunk.doc[:-1])])
                     row.add(_cells(keys[fresh], k, cells))
         pack = zstandard.ZstdCompressor(level=1).compress
         for k, row in enumerate(rows):
@@ -205,18 +208,17 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, cells: int | None = No
         window's rows are one a chunk, however often it is copied."""
         bits = held.value
         for chunk in chunks(batches, width):
-            keys = chunk.keys()
-            maybe = np.flatnonzero(np.logical_and.reduce([Counters.has(bits[k], _cells(keys, k, cells)) for k in range(ROWS)]))
+            maybe = np.flatnonzero(np.logical_and.reduce([Counters.has(bits[k], _cells(keys, k, cells)) for k, keys in enumerate(chunk.keys())]))
             if not len(maybe):
                 continue
             at = chunk.at[maybe]
             h1, h2 = _rolling(chunk.words, width, _M1)[at], (_rolling(_mixed(chunk.words), width, _M2)[at] >> np.uint64(32)).astype(np.uint32)
             doc, mark, place = chunk.doc[maybe], chunk.mark[maybe], chunk.place[maybe]
             order = np.lexsort((doc, h2, h1))
-            h1, h2, doc, mark, place = (x[order] for x in (h1, h2, doc, mark, place))
-            fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            least = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            open_ = doc == least
+            s1, s2, sorted_doc = h1[order], h2[order], doc[order]
+            fresh = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
+            open_ = np.empty(len(doc), dtype=bool)  # rows stay in the order of the text: what neighbours share packs well
+            open_[order] = sorted_doc == sorted_doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             yield batch_of(schema, (h1[open_].view(np.int64), h2[open_].view(np.int32), doc[open_], place[open_].astype(np.int32), (-1 - mark[open_]).astype(np.int32)))
             if not open_.all():
                 doc, mark, first, n = _runs(doc[~open_], mark[~open_], place[~open_])
@@ -229,14 +231,31 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, cells: int | None = No
     return later.groupBy("doc_id", F.when(F.col("n") < 0, -1 - F.col("n")).otherwise(F.col("h2")).alias("mark")).agg(spans.alias("spans"))
 
 
-def kept_words(words: list[bytes], spans: list[dict], width: int = WIDTH) -> list[bytes]:
-    """The words that no window of the spans covers."""
-    at = np.array([s["at"] for s in spans], dtype=np.int64)
-    ends = np.minimum(at + np.array([s["n"] for s in spans], dtype=np.int64) + width - 1, len(words))
+def kept_words(words: list[bytes], at: np.ndarray, n: np.ndarray, width: int = WIDTH) -> list[bytes]:
+    """The words that no window covers, where n windows begin one after the other at each place of ``at``."""
     depth = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(depth, np.minimum(at, len(words)), 1)
-    np.add.at(depth, ends, -1)
-    return [w for w, n in zip(words, np.cumsum(depth).tolist()) if not n]
+    np.add.at(depth, np.minimum(at + n + width - 1, len(words)), -1)
+    return [w for w, covered in zip(words, np.cumsum(depth).tolist()) if not covered]
+
+
+def _with_spans(docs: DataFrame, width: int, cells: int | None) -> DataFrame:
+    """docs with _spans, the repeated windows of the row's text."""
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spans = repeated_windows(known, width, cells).select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
+    mark = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(MARK)).cast("int")
+    return docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_mark", mark).join(spans, ["_key", "_mark"], "left").select(*docs.columns, "_spans")
+
+
+def _judged(batch: pa.RecordBatch, text_at: int, spans_at: int, width: int) -> Iterator[tuple[bytes | None, list[bytes], list[bytes]]]:
+    """(text, words, kept words) of each row."""
+    spans = batch.column(spans_at)
+    ends, (at, n) = spans.offsets.to_numpy(), (x.to_numpy().astype(np.int64) for x in spans.values.flatten())
+    for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+        for k, text in enumerate(binary_cells(batch.column(text_at).slice(first, ROWS_AT_ONCE)), first):
+            words = text.split() if text else []
+            start, end = ends[k], ends[k + 1]
+            yield text, words, kept_words(words, at[start:end], n[start:end], width) if end > start else words
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, cells: int | None = None) -> DataFrame:
@@ -249,40 +268,38 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, cells: int | None = Non
     smaller nor larger than another, so its rows keep their words and take none from others. Columns of docs other than
     doc_id and text pass through.
     """
-    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_windows(known, width, cells).select(F.col("doc_id").alias("_key"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    mark = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(MARK)).cast("int")
-    rows = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_mark", mark).join(spans, ["_key", "_mark"], "left").select(*docs.columns, "_spans")
-    out = rows.schema.fieldNames()
-    text_at, spans_at = out.index("text"), out.index("_spans")
+    rows = _with_spans(docs, width, cells)
+    names = rows.schema.fieldNames()
+    text_at, spans_at = names.index("text"), names.index("_spans")
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_n_words bigint", "_n_removed bigint"])
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed = [], [], []
-            for text, at in zip(binary_cells(batch.column(text_at)), batch.column(spans_at).to_pylist()):
-                words = text.split() if text else []
-                kept = kept_words(words, at, width) if at else words
+            for text, words, kept in _judged(batch, text_at, spans_at, width):
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 texts.append(text if len(kept) == len(words) else b" ".join(kept))
             columns = list(batch.columns[:spans_at])
             columns[text_at] = pa.array(texts, type=pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*out[:spans_at], "_n_words", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names[:spans_at], "_n_words", "_n_removed"])
 
     return rows.mapInArrow(cleaned, ddl)
 
 
-def digest_of_kept(text: bytes | None) -> str:
-    return hashlib.sha256(b" ".join(text.split()) if text else b"").hexdigest()
-
-
-def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def digests_of_kept(docs: DataFrame, width: int = WIDTH, cells: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each row, where without_repeats gives the text."""
+    rows = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, cells)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(schema, (batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), map(digest_of_kept, binary_cells(batch.column(1)))))
+            found = [(len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for _, words, kept in _judged(batch, 1, 2, width)]
+            if found:
+                yield batch_of(schema, (batch.column(0).to_pylist(), *zip(*found)))
+
+    return rows.mapInArrow(digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
-    return out.select(F.col("doc_id").cast("long"), "text", "_n_words", "_n_removed").mapInArrow(digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests_of_kept(table(spark, sf_dir, "documents"))
