@@ -82,13 +82,22 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by, F.lit(0))
 
 
-def smallest_hashed(df: DataFrame, key: str, by: list[str], n: int, seed: int, first: Column | None = None) -> DataFrame:
+def smallest_hashed(df: DataFrame, key: str, by: list[str], n: int, seed: int, first: Column | None = None, most_groups: int = 256) -> DataFrame:
     """At most n rows for each value of ``by``, those whose hashed key is smallest, after those that ``first`` puts first: a sample that
-    does not depend on how rows are dealt out. Spark trims each task to n rows a group before it shuffles them."""
+    does not depend on how rows are dealt out. Only the ``most_groups`` most frequent values of ``by`` are sampled.
+
+    Rows are counted first; then only those whose hash is in the lowest share that should hold 4 n of a value's rows are sorted,
+    so neither the sort nor its shuffle grows with the table. (That fewer than n are there has no chance worth naming; the
+    sample would be smaller then.)
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(*by).orderBy(F.lit(0) if first is None else first, F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+    hashed = F.xxhash64(F.lit(seed), F.col(key))
+    share = hashed.bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    groups = df.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), *by).limit(most_groups)
+    near = df.join(F.broadcast(groups), by).filter(share * F.col("_n") <= 4 * n + 100)
+    order = Window.partitionBy(*by).orderBy(F.lit(0) if first is None else first, share, F.col(key))
+    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).select(*df.columns)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
