@@ -303,3 +303,13 @@ def digests_of_kept(docs: DataFrame, width: int = WIDTH, cells: int | None = Non
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests_of_kept(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: {{'k': i, 's': array_to_string(w[i:i + {WIDTH - 1}], ' ')}}), recursive := true) FROM split),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + {WIDTH})) AS p FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split),
+kept AS (SELECT doc_id, count(gone.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone.p IS NULL), '') AS t FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (doc_id)"""

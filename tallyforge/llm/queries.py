@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": op01_urls.ORACLE,
     "op6_benchmark_decontamination": op06_contamination.ORACLE,
+    "op10_substring_dedup": op10_substrings.ORACLE,
 }

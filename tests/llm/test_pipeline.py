@@ -68,3 +68,19 @@ def test_queries_are_registered_once_an_operator():
     from tallyforge.llm.queries import ORACLES, QUERIES
 
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+def test_queries_agree_with_their_sql(spark):
+    import duckdb
+
+    from tallyforge.llm.queries import ORACLES, QUERIES
+
+    data, db = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "pages", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    for name, sql in ORACLES.items():
+        ours, theirs = QUERIES[name](spark, data).toPandas(), db.execute(sql).df()
+        order = sorted(ours.columns)
+        assert order == sorted(theirs.columns)
+        rows = lambda f: sorted(f[order].astype(object).where(f[order].notna(), None).itertuples(index=False, name=None), key=repr)
+        assert rows(ours) == rows(theirs), name
