@@ -67,7 +67,8 @@ def watch_pages(events: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events by hour and type, rows later than the watermark left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
 def late_extracts(log_path: str, out_path: str):

@@ -101,17 +101,17 @@ def test_grounding(spark):
 
 def test_case_matching(spark):
     cases = spark.createDataFrame(
-        [(0, "s1", "Inv BS2603030054.pdf", None, "aa"), (1, "s2", "inv-bs2603030054 copy.pdf", ["Old One.pdf"], "bb"), (2, "s3", "other F6910137421TINV.pdf", [], "cc")],
+        [(0, "s1", "Inv BS1234567890.pdf", None, "aa"), (1, "s2", "inv-bs1234567890 copy.pdf", ["Old One.pdf"], "bb"), (2, "s3", "other F5550001234TINV.pdf", [], "cc")],
         "pos int, id string, pdf string, aliases array<string>, sha256 string",
     )
     files = spark.createDataFrame(
-        [("INV BS2603030054.PDF", ""), ("inv_bs2603030054.pdf", ""), ("old-one.PDF", ""), ("x.pdf", "CC"), ("new BS2603030054 x.pdf", ""), ("re F6910137421tinv.pdf", None), ("nothing.pdf", "")],
+        [("INV BS1234567890.PDF", ""), ("inv_bs1234567890.pdf", ""), ("old-one.PDF", ""), ("x.pdf", "CC"), ("new BS1234567890 x.pdf", ""), ("re F5550001234tinv.pdf", None), ("nothing.pdf", "")],
         "file string, sha256 string",
     )
     got = {r.file: (r.case, r.how) for r in match.match_cases(files, cases).collect()}
     assert got == {
-        "INV BS2603030054.PDF": ("s1", "filename"), "inv_bs2603030054.pdf": ("s1", "filename (normalised)"), "old-one.PDF": ("s2", "manifest alias"),
-        "x.pdf": ("s3", "file contents"), "new BS2603030054 x.pdf": (None, None), "re F6910137421tinv.pdf": ("s3", "document number"), "nothing.pdf": (None, None),
+        "INV BS1234567890.PDF": ("s1", "filename"), "inv_bs1234567890.pdf": ("s1", "filename (normalised)"), "old-one.PDF": ("s2", "manifest alias"),
+        "x.pdf": ("s3", "file contents"), "new BS1234567890 x.pdf": (None, None), "re F5550001234tinv.pdf": ("s3", "document number"), "nothing.pdf": (None, None),
     }
 
 
@@ -142,10 +142,10 @@ def test_other_fields(spark):
 
 
 def test_resolve_model(spark):
-    models = spark.createDataFrame([("qwen:7b",), ("qwen:3b",), ("typhoon",)], "model string")
-    wanted = spark.createDataFrame([("Typhoon",), ("qwen",), ("qwen:3b",), ("none",)], "wanted string")
+    models = spark.createDataFrame([("alpha:7b",), ("alpha:3b",), ("beta",)], "model string")
+    wanted = spark.createDataFrame([("Beta",), ("alpha",), ("alpha:3b",), ("none",)], "wanted string")
     got = {r.wanted: (r.model, r.error) for r in match.resolve_model(wanted, models).collect()}
-    assert got == {"Typhoon": ("typhoon", None), "qwen": (None, "ambiguous"), "qwen:3b": ("qwen:3b", None), "none": (None, "no such model")}
+    assert got == {"Beta": ("beta", None), "alpha": (None, "ambiguous"), "alpha:3b": ("alpha:3b", None), "none": (None, "no such model")}
 
 
 TABLE = """# Receipt
@@ -229,3 +229,18 @@ def test_truth_scores_itself_in_full(spark):
 
     level = {r.level: r.accuracy for r in scores.tally_sets(rows.withColumn("status", judge(F.col("e"), F.col("a")))).collect()}
     assert level == {0: 1.0, 1: 1.0, 3: 1.0}
+
+
+def test_late_extracts_and_hourly_counts(spark, tmp_path):
+    ddl = "seq long, timestamp string, file string, run_type string, p1_present string, p2_present string, grounded_pct string, extract_mode string, extract_updated string"
+    spark.createDataFrame([(0, "t", "f", "", "", "", "", "x", "")], ddl).write.parquet(f"{tmp_path}/log")
+    batch = spark.createDataFrame([(0, "t", "f", "1", "0", "9", "late")], "seq long, timestamp string, file string, p1_present string, p2_present string, grounded_pct string, extract_mode string")
+    events.late_extracts(f"{tmp_path}/log", f"{tmp_path}/out")(batch, 3)
+    row = spark.read.parquet(f"{tmp_path}/out").first()
+    assert (row.extract_mode, row.p1_present, row.extract_updated, row.batch) == ("late", "1", "batch 3", 3)
+    source = "/root/testdata/sf0.001/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet("/root/testdata/sf0.001", pathGlobFilter="events.parquet")
+    q = events.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("hourly").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select sum(n) from hourly").first()[0] == spark.read.parquet(source).count()
