@@ -141,8 +141,8 @@ class Counters:
 def sketch(docs: DataFrame, width: int, cells: int) -> np.ndarray:
     """For each row of the sketch, a bit a cell: whether it counts two or more.
 
-    A window is counted by its keys, once for each run of windows that share one, so either row's estimate is never below the
-    number of documents that the window is in. Partitions' counters are added up by the shuffle, part by part; what reaches the
+    A window is counted by its keys, once a document (a long one that is hashed in parts: once a part), so either row's estimate is
+    never below the number of documents that the window is in. Partitions' counters are added up by the shuffle, part by part; what reaches the
     driver, and is broadcast, is ROWS * MOST_CELLS bits at most, whatever the corpus.
     """
     part = min(PART, cells)
@@ -154,7 +154,12 @@ def sketch(docs: DataFrame, width: int, cells: int) -> np.ndarray:
             for k, (row, keys) in enumerate(zip(rows, chunk.keys())):
                 if len(keys):
                     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (chunk.doc[1:] != chunk.doc[:-1])])
-                    row.add(_cells(keys[fresh], k, cells))
+                    # once a document, so that what a text repeats by itself doesn't look repeated
+                    keys, doc = keys[fresh], chunk.doc[fresh]
+                    order = np.lexsort((doc, keys))
+                    keys, doc = keys[order], doc[order]
+                    once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
+                    row.add(_cells(keys[once], k, cells))
         pack = zstandard.ZstdCompressor(level=1).compress
         for k, row in enumerate(rows):
             for at in range(0, cells // 8, part // 8):
