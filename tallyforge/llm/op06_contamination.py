@@ -3,6 +3,7 @@ size, and verified by exact shingle containment. DataFrame operations only."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,8 +61,9 @@ def _candidates(words: Column, bands: list[tuple[int, list[tuple[int, int]]]], n
     none = F.array().cast("array<bigint>")
 
     def of_band(hashes: Column, least: int, pairs: list[tuple[int, int]]) -> Column:
-        sketch = F.array(*(F.lit(h).cast("long") for h in sorted({h for h, _ in pairs})))
-        named = F.array(*(F.struct(F.lit(h).cast("long").alias("hash"), F.lit(i).cast("long").alias("item")) for h, i in pairs))
+        # constants that the optimizer reads once; thousands of literals would take the driver long to build
+        sketch = F.from_json(F.lit(json.dumps(sorted({h for h, _ in pairs}))), "array<bigint>")
+        named = F.from_json(F.lit(json.dumps([{"hash": h, "item": i} for h, i in pairs])), "array<struct<hash:bigint,item:bigint>>")
         items = lambda hits: F.transform(F.filter(named, lambda x: F.array_contains(hits, x.hash)), lambda x: x.item)
         return F.when(F.size(hashes) >= least, bound(F.array_intersect(hashes, sketch), lambda hits: F.when(F.size(hits) > 0, items(hits)).otherwise(none))).otherwise(none)
 
