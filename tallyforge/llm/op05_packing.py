@@ -92,6 +92,7 @@ def token_pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
                     rows.append((doc_id, piece, start, n, zlib.crc32(part), part if keep_ids else None, turn % groups))
             if rows:
                 yield batch_of(PIECES, zip(*rows))
+        encode.known.clear()  # the worker outlives its task
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(made, PIECES_DDL)
 
