@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.llm.common import remainder, stored, table
-from tallyforge.llm.op02_simhash import drop_near_duplicates
 from tallyforge.llm.op03_language import drop_unidentified
 from tallyforge.llm.op05_packing import pack
 from tallyforge.llm.op06_contamination import drop_contaminated
 from tallyforge.llm.op10_substrings import without_repeats
+from tallyforge.llm.similar import drop_similar
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of documents that are tied by a five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    return drop_similar(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

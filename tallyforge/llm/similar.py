@@ -1,0 +1,118 @@
+"""Near copies by the Jaccard similarity of five-word shingles: bands of MinHash propose groups, exact similarities link in them."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
+
+from tallyforge.llm.common import batch_of, binary_cells, grouped, stored
+from tallyforge.llm.graph import components
+
+WORDS, SIMILARITY, SEED = 5, 0.8, 42
+#: Two texts share a band if all its MinHashes are equal. At a similarity of 0.8, (1 - 0.8 ** 6) ** 40 = 5 in a million share none.
+BANDS, ROWS = 40, 6
+_rng = np.random.default_rng(SEED)
+TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SETS = pa.schema([("group", pa.int64()), ("set", pa.int64()), ("hashes", pa.binary())])
+
+
+def shingle_hashes(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different shingles. A text of fewer words is one shingle, one without words has none."""
+    found = text.lower().split() if text else []
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)] * bool(found)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[at : at + 256, None] * TIMES + PLUS).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, dtype=np.uint64).astype(np.int64).tolist()
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity is ``least`` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= least * (len(both) - shared) - 1e-9
+
+
+def exact_links(sets: list[tuple[int, np.ndarray]], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join up all sets that are similar. A set is compared with each class until one of the class is similar."""
+    classes: list[list[int]] = []
+    links = []
+    for i, (key, hashes) in enumerate(sets):
+        own, apart = [i], []
+        for members in classes:
+            near = next((j for j in members if similar(hashes, sets[j][1], least)), None)
+            if near is None:
+                apart.append(members)
+            else:
+                links.append((sets[near][0], key))
+                own = members + own
+        classes = [*apart, own]
+    return links
+
+
+def drop_similar(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """docs without the documents that a chain of pairs, each of a similarity of ``least`` or more, ties to one with a smaller doc_id.
+
+    Similarity is Jaccard's, of the different five-word shingles of lower-cased texts; texts without words are alike. The band keys
+    that two texts share put them into one group of candidates, and a group's links are all verified on its shingles' hashes: by one
+    task, which holds the group's hashes. Rows are known by doc_id and text. A null doc_id comes after all others; rows that
+    are equal in both stay or go together.
+    """
+    docs = docs.withColumn("_hash", F.xxhash64(text))
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(set_key(h), band_keys(h)) for h in map(shingle_hashes, binary_cells(batch.column(2)))]
+            yield batch_of(PRINTS, (batch.column(0).to_pylist(), batch.column(1).to_pylist(), [s for s, _ in found], [b for _, b in found]))
+
+    source = docs.select(F.col("doc_id").cast("long"), "_hash", text)
+    prints = stored(source.mapInArrow(printed, "doc_id long, text_hash long, `set` long, bands array<long>"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = stored(prints.groupBy("set").agg(F.min(row).alias("least"), F.first("bands").alias("bands")))
+    banded = classes.select("set", F.explode("bands").alias("band"))
+    first = F.first("set").over(Window.partitionBy("band").orderBy("set"))
+    groups = components(banded.select(first.alias("a"), F.col("set").alias("b")).filter("a <> b").distinct())
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of(SETS, (batch.column(0).to_pylist(), batch.column(1).to_pylist(), [shingle_hashes(t).tobytes() for t in binary_cells(batch.column(2))]))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, 1):
+            sets = [(key, np.frombuffer(h, dtype=np.uint64)) for key, h in {key: h for key, h in rows}.items()]
+            if found := exact_links(sets, least):
+                yield batch_of(LINKS, zip(*found))
+
+    shown = classes.join(groups, F.col("set") == F.col("node")).select("component", "set", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_text"))
+    texts = source.join(shown, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))).select("component", "set", text)
+    sets = texts.mapInArrow(hashed, "`group` long, `set` long, hashes binary")
+    tied = components(sets.repartition("group").sortWithinPartitions("group", "set").mapInArrow(linked, "a long, b long"))
+
+    roots = classes.join(tied, F.col("set") == F.col("node"), "left").select("set", "least", F.coalesce("component", "set").alias("root"))
+    best = roots.groupBy("root").agg(F.min("least").alias("best"))
+    kept = roots.join(best, "root").select("set", "best")
+    gone = prints.join(kept, "set").filter(row != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    known = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    return docs.join(gone, known, "left_anti").drop("_hash")

@@ -1,0 +1,59 @@
+"""The pipeline's near copies against a brute-force Jaccard similarity."""
+
+import itertools
+import random
+
+import corpus_pipeline
+from tallyforge.llm import similar
+
+VOCABULARY = [a + b for a in "ka lo mi nu re sa te vo".split() for b in "ba di fu go he".split()]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_kept(texts):
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+def edited(text, rng, n):
+    words = text.split()
+    for i in rng.sample(range(len(words)), n):
+        words[i] = rng.choice(VOCABULARY)
+    return " ".join(words)
+
+
+def test_near_copies_of_the_stage_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    bases = [" ".join(rng.choices(VOCABULARY, k=rng.randrange(60, 400))) for _ in range(40)]
+    texts = bases + [edited(b, rng, k) for b in bases for k in (1, 2, 3, 4, 6, 8)]
+    texts += [edited(texts[i], rng, 2) for i in range(40, 120)] + [None, "", "Ka ba", "ka  BA", bases[0].upper()]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    expected = brute_kept(texts)
+    assert 60 < len(expected) < len(texts) - 100
+    assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect()} == expected
+
+
+def test_rows_without_an_id_give_way(spark):
+    text = " ".join(VOCABULARY)
+    docs = spark.createDataFrame([(None, text, "en", "s", 0), (7, text + " end", "en", "s", 0), (3, text.upper(), "en", "s", 0)], DOCS)
+    assert [r.doc_id for r in similar.drop_similar(docs).collect()] == [3]
+
+
+def test_a_large_group_is_linked_through_chains():
+    chain = [(i, similar.np.arange(i, i + 40, dtype=similar.np.uint64)) for i in range(30)]
+    random.Random(1).shuffle(chain)
+    assert len(similar.exact_links(chain)) == 29 and not similar.exact_links(chain[:1])
