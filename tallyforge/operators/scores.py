@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyforge.functions import fixed
 from tallyforge.functions.text import content_only, strip_marks
 
-#: Characters over which an edit distance is not worked out: its time grows with the product of both lengths.
-MOST_CHARS = 20_000
+#: Characters up to which the JVM works an edit distance out; for longer texts 64 and more cells are worked out at a time.
+JVM_CHARS = 20_000
+#: More characters than a string can have.
+ANY_LENGTH = (1 << 31) - 1
 
 
 def tally_columns(status: Column) -> list[Column]:
@@ -64,10 +67,41 @@ def diff_lines(expected: Column, actual: Column, context: int = 1) -> Column:
     return F.pandas_udf(diffed, "array<string>")(expected, actual)
 
 
-def char_accuracy(expected: Column, actual: Column, most: int = MOST_CHARS) -> Column:
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein's distance, exact: Myers' columns of bits, held in whole numbers of any length."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in ((a, b) if len(a) >= len(b) else (b, a)))
+    for step in (1, -1):  # what both begin or end with costs nothing
+        n = min(len(x), len(y))
+        apart = np.flatnonzero(x[::step][:n] != y[::step][:n])
+        same = int(apart[0]) if len(apart) else n
+        x, y = (x[same:], y[same:]) if step == 1 else (x[: len(x) - same], y[: len(y) - same])
+    if not len(y):
+        return len(x)
+    at = {int(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.intersect1d(x, y)}
+    full, last, distance = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    more, less = full, 0
+    for c in y.tolist():
+        equal = at.get(c, 0)
+        down = equal | less
+        across = (((equal & more) + more) ^ more) | equal
+        up, fewer = less | (~(across | more) & full), more & across
+        distance += bool(up & last) - bool(fewer & last)
+        up, fewer = ((up << 1) | 1) & full, (fewer << 1) & full
+        more, less = fewer | (~(down | up) & full), up & down
+    return distance
+
+
+def _edit_distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
+def char_accuracy(expected: Column, actual: Column, most: int = ANY_LENGTH) -> Column:
     """1 less the edit distance over the expected length, at least 0; null where either text is over ``most`` characters."""
     scored = (F.length(expected) <= most) & (F.length(actual) <= most)
-    distance = F.levenshtein(F.when(scored, expected), F.when(scored, actual))
+    short = (F.length(expected) <= JVM_CHARS) & (F.length(actual) <= JVM_CHARS)
+    long = scored & ~short
+    far = F.pandas_udf(_edit_distances, "long")(F.when(long, expected), F.when(long, actual))
+    distance = F.coalesce(F.levenshtein(F.when(scored & short, expected), F.when(scored & short, actual)).cast("long"), far)
     return F.round(F.greatest(F.lit(0.0), 1 - distance / F.greatest(F.length(expected), F.lit(1))), 4)
 
 
@@ -75,7 +109,7 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0)))
 
 
-def score_transcripts(pairs: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+def score_transcripts(pairs: DataFrame, most: int = ANY_LENGTH) -> DataFrame:
     """pairs (expected, actual, both normalised) with the three accuracies, the four counts, and scored."""
     a, b = F.col("expected"), F.col("actual")
     ca, cb = content_only(a), content_only(b)
