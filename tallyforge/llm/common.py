@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -35,25 +36,74 @@ def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of its own only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where none is named, a local session gets a folder of its
+    own, and a cluster an error: a machine's folder would be lost with the machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tallyforge-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def named(column: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for no column to have them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plain(df: DataFrame, *keep: str) -> DataFrame:
+    """df with columns c0, c1 and so on, but for those to keep: no name of a caller's then clashes with one made here, or is one that
+    Spark cannot hand to an Arrow function. ``toDF`` gives the names back."""
+    return df.toDF(*(c if c in keep else f"c{i}" for i, c in enumerate(df.columns)))
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """Columns that Spark can hash and order: all but those with maps or variants in them."""
+    return [named(f.name) for f in df.schema if not re.search(r"\b(map<|variant)", f.dataType.simpleString())]
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, emptied at exit."""
+    path = f"{scratch_dir(spark)}/tallyforge-{uuid.uuid4().hex}"
+    _sweep_at_exit(spark, path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Computes df once, into the shared folder, and cuts its lineage there. Readers survive the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tallyforge-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
     df.write.parquet(path)
-    _sweep_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for df, which nothing will read again."""
+    place = (df.sparkSession, df.stored_at)
+    _delete(*place)
+    _to_sweep.remove(place)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _to_sweep: list[tuple[SparkSession, str]] = []
@@ -70,9 +120,7 @@ def _sweep_at_exit(spark: SparkSession, path: str) -> None:
 def _sweep() -> None:
     for spark, path in _to_sweep:
         try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; the folder is the cluster's to empty
             return
 
@@ -82,22 +130,19 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % by, F.lit(0))
 
 
-def smallest_hashed(df: DataFrame, key: str, by: list[str], n: int, seed: int, first: Column | None = None, most_groups: int = 256) -> DataFrame:
-    """At most n rows for each value of ``by``, those whose hashed key is smallest, after those that ``first`` puts first: a sample that
-    does not depend on how rows are dealt out. Only the ``most_groups`` most frequent values of ``by`` are sampled.
+def smallest_hashed(df: DataFrame, key: list[str], by: str, n: int, seed: int) -> DataFrame:
+    """(by, key): at most n different keys for each value of ``by``, those whose hash is smallest: a sample that does not depend on
+    how rows are dealt out, nor on how often a key is there. Tasks take their own n before they meet, so what is shuffled is the
+    keys once and then n a value and task."""
+    rank, = unused([by, *key], "rank")
+    order = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    return df.select(by, *key).distinct().withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= n).drop(rank)
 
-    Rows are counted first; then only those whose hash is in the lowest share that should hold 4 n of a value's rows are sorted,
-    so neither the sort nor its shuffle grows with the table. (That fewer than n are there has no chance worth naming; the
-    sample would be smaller then.)
-    """
-    from pyspark.sql import Window
 
-    hashed = F.xxhash64(F.lit(seed), F.col(key))
-    share = hashed.bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    groups = df.groupBy(*by).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), *by).limit(most_groups)
-    near = df.join(F.broadcast(groups), by).filter(share * F.col("_n") <= 4 * n + 100)
-    order = Window.partitionBy(*by).orderBy(F.lit(0) if first is None else first, share, F.col(key))
-    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).select(*df.columns)
+def one_label(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, label) for each doc_id that has a label; of labels that disagree the smallest."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias(label)).filter(f"doc_id is not null and {label} is not null")
+    return known.groupBy("doc_id").agg(F.min(label).alias(label))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.llm.common import stored
+from tallyforge.llm.common import forget, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(pairs.select("u", "v").distinct())
     seen = _state(now)
     while seen[0]:
-        now = stored(_small_star(_large_star(now)))
+        last, now = now, stored(_small_star(_large_star(now)))
+        forget(last)
         after = _state(now)
         if after == seen:
             break
