@@ -1,4 +1,4 @@
-"""URL filter: host rules first, then a weighted vocabulary matched by an Aho-Corasick automaton."""
+"""URL filter: host rules first, then a weighted vocabulary whose terms an Aho-Corasick automaton finds."""
 
 from __future__ import annotations
 
@@ -9,17 +9,33 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import ascii_lower, table
+from tallyforge.llm.common import ascii_lower, named, table, unused
 
 #: (verdict, rule). A rule is a host and the beginning of a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: One of these is enough.
-STRICT = ("porn", "xxx", "hentai", "camgirls", "onlinecasino", "warez", "keygen", "viagra")
-#: Of these it takes as many different ones as SOFT_HITS.
-SOFT = ("adult", "sex", "nude", "escort", "casino", "poker", "betting", "jackpot", "torrent", "crack", "cialis", "payday", "hookup", "fetish", "track", "promo")
-SOFT_HITS = 2
-
-VERDICT_TYPE = "rule string, verdict string, strict_hits int, soft_hits int"
+#: A url is rejected when the weights of its different terms come to this.
+LIMIT = 3
+#: Strict terms: one is enough.
+STRICT = (
+    "anal", "bdsm", "blowjob", "bukkake", "camgirl", "camgirls", "camsex", "crackz", "creampie", "cumshot", "deepthroat", "dildo", "gangbang", "hardcoresex",
+    "hentai", "keygen", "keygens", "livesex", "milf", "onlinecasino", "onlinepharmacy", "orgy", "porn", "porno", "pornhub", "pornos", "pornstar", "pornstars",
+    "sexcam", "sexchat", "sexshop", "shemale", "threesome", "viagra", "warez", "webcamsex", "xhamster", "xnxx", "xvideos", "xxx",
+)
+#: Soft terms by weight: it takes two, of which one says much, or three that say little.
+SOFT = (
+    *((t, 2) for t in (
+        "adult", "affiliates", "baccarat", "bet", "betting", "bingo", "blackjack", "bookmaker", "casino", "casinos", "cialis", "crack", "cracked", "dating", "erotic",
+        "escort", "escorts", "fetish", "forex", "gambling", "hookup", "jackpot", "levitra", "nude", "nudes", "payday", "pharmacy", "pills", "poker", "replica", "roulette",
+        "sex", "sexy", "slots", "sportsbook", "spyware", "steroids", "torrent", "torrents", "tramadol", "xanax",
+    )),
+    *((t, 1) for t in (
+        "adserver", "ads", "bonus", "buy", "cam", "cams", "cash", "cheap", "clickbait", "coupon", "deal", "deals", "discount", "doubleclick", "earn", "free", "girls",
+        "hot", "loan", "loans", "lucky", "online", "offer", "offers", "popup", "prize", "promo", "sale", "singles", "spam", "track", "tracker", "tracking", "vip",
+        "win", "winner",
+    )),
+)
+
+VERDICT_TYPE = "rule string, verdict string, strict_hits int, soft_hits int, weight int"
 
 
 def host_of(url: Column) -> Column:
@@ -33,27 +49,28 @@ def path_of(url: Column) -> Column:
 
 
 @lru_cache(maxsize=8)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
+def automaton(strict: tuple[str, ...], soft: tuple[tuple[str, int], ...], limit: int):
     import ahocorasick
 
     built = ahocorasick.Automaton()
-    for terms, kind in ((soft, "soft"), (strict, "strict")):  # a term in both lists is strict
-        for term in terms:
-            built.add_word(term.lower(), (kind, term.lower()))
+    for terms, kind in ((soft, "soft"), (tuple((t, limit) for t in strict), "strict")):  # a term in both lists is strict
+        for term, weight in terms:
+            built.add_word(term.lower(), (kind, term.lower(), weight))
     built.make_automaton()
     return built
 
 
-def hits(url: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[int, int]:
-    """Different strict and soft terms of the url that no ASCII letter or digit touches on either side."""
+def hits(url: str, strict: tuple[str, ...], soft: tuple[tuple[str, int], ...], limit: int = LIMIT) -> tuple[int, int, int]:
+    """Different strict and soft terms of the url that no ASCII letter or digit touches on either side, and the sum of their weights."""
     if not (strict or soft):
-        return 0, 0
-    text, found = url.translate(_LOWERED), {"strict": set(), "soft": set()}
-    for end, (kind, term) in automaton(strict, soft).iter(text):
-        start = end - len(term) + 1
+        return 0, 0, 0
+    text, found = url.translate(_LOWERED), set()
+    for end, one in automaton(strict, soft, limit).iter(text):
+        start = end - len(one[1]) + 1
         if not (start and text[start - 1] in _INNER) and not (end + 1 < len(text) and text[end + 1] in _INNER):
-            found[kind].add(term)
-    return len(found["strict"]), len(found["soft"])
+            found.add(one)
+    n_strict = sum(kind == "strict" for kind, _, _ in found)
+    return n_strict, len(found) - n_strict, sum(weight for _, _, weight in found)
 
 
 _INNER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -81,13 +98,15 @@ class HostRules:
                 return best or (None, None)
 
 
-def judge_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
-    """Adds host, path, rule, verdict (allow or block), strict_hits and soft_hits; columns of these names are replaced.
+def judge_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> DataFrame:
+    """Adds host, path, rule, verdict (allow or block), strict_hits, soft_hits and weight; columns of these names are replaced.
 
-    A url without ``://``, an empty one and null have empty host and path; no rule fits them. Null has no terms, so it
-    is allowed. Every row is judged by itself, so repeated rows get the same verdict and an empty table stays empty.
+    ``soft`` has (term, weight); a strict term weighs ``limit``. Where no rule fits, a url is blocked if its different terms weigh
+    ``limit`` or more together. A url without ``://``, an empty one and null have empty host and path; no rule fits them. Null has no
+    terms, so it is allowed. Every row is judged by itself, so repeated rows get the same verdict and an empty table stays empty.
     """
-    rules, strict, soft = tuple(map(tuple, rules)), tuple(strict), tuple(soft)
+    rules, strict, soft = tuple(map(tuple, rules)), tuple(strict), tuple(map(tuple, soft))
+    made = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight")
 
     @F.pandas_udf(VERDICT_TYPE)
     def judged(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -96,16 +115,15 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, strict=STRICT, soft
             rows = []
             for one, host, path in zip(urls, hosts, paths):
                 rule, verdict = known.find(host, path)
-                n_strict, n_soft = hits(one, strict, soft) if isinstance(one, str) else (0, 0)
-                rows.append((rule, verdict or ("block" if n_strict or n_soft >= soft_hits else "allow"), n_strict, n_soft))
-            yield pd.DataFrame(rows, columns=["rule", "verdict", "strict_hits", "soft_hits"])
+                found = hits(one, strict, soft, limit) if isinstance(one, str) else (0, 0, 0)
+                rows.append((rule, verdict or ("block" if found[2] >= limit else "allow"), *found))
+            yield pd.DataFrame(rows, columns=list(made[2:]))
 
-    made = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")
-    link = df[url]
-    kept = [c for c in df.columns if c not in made]
-    out = df.select(*kept, link.alias("_url"), host_of(link).alias("host"), path_of(link).alias("path"))
-    out = out.withColumn("_judged", judged("_url", "host", "path"))
-    return out.select(*kept, "host", "path", *(F.col(f"_judged.{c}").alias(c) for c in made[2:]))
+    kept = [named(c) for c in df.columns if c.lower() not in made]
+    link, verdict = unused([*df.columns, *made], "url", "judged")
+    out = df.select(*kept, named(url).alias(link), host_of(named(url)).alias("host"), path_of(named(url)).alias("path"))
+    out = out.withColumn(verdict, judged(link, "host", "path"))
+    return out.select(*kept, "host", "path", *(F.col(f"{verdict}.{c}").alias(c) for c in made[2:]))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,23 +132,23 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     lowered = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    count = lambda terms: " + ".join(f"CASE WHEN regexp_matches({lowered}, '(^|[^a-z0-9]){t}($|[^a-z0-9])') THEN 1 ELSE 0 END" for t in terms)
+    held = lambda terms: f"CAST(len(list_filter([{', '.join(repr(t) for t in terms)}], lambda t: regexp_matches(lowered, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])'))) AS INTEGER)"
+    weights = sorted({w for _, w in SOFT})
     ordered = sorted(RULES, key=lambda r: -len(r[1]))
     fits = lambda rule: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*rule.split("/", 1))
     pick = " ".join(f"WHEN {fits(rule)} THEN '{rule}'" for _, rule in ordered)
     said = " ".join(f"WHEN rule = '{rule}' THEN '{verdict}'" for verdict, rule in ordered)
     return f"""
 WITH parts AS (
-  SELECT page_id,
+  SELECT page_id, {lowered} AS lowered,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
-    CAST({count(STRICT)} AS INTEGER) AS strict_hits,
-    CAST({count(SOFT)} AS INTEGER) AS soft_hits
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
   FROM pages),
-ruled AS (SELECT *, CASE {pick} END AS rule FROM parts)
+counted AS (SELECT *, {held(STRICT)} AS strict_hits, {", ".join(f"{held([t for t, w in SOFT if w == k])} AS soft_{k}" for k in weights)} FROM parts),
+ruled AS (SELECT *, CASE {pick} END AS rule, CAST({LIMIT} * strict_hits + {" + ".join(f"{k} * soft_{k}" for k in weights)} AS INTEGER) AS weight FROM counted)
 SELECT page_id, host, path, rule,
-  CASE {said} WHEN strict_hits > 0 OR soft_hits >= {SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict,
-  strict_hits, soft_hits
+  CASE {said} WHEN weight >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+  strict_hits, {" + ".join(f"soft_{k}" for k in weights)} AS soft_hits, weight
 FROM ruled"""
 
 
