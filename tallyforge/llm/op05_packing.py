@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import base64
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,60 +12,59 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import batch_of, table
+from tallyforge.llm.common import batch_of, named, stored, table
 
 LENGTH, END = 2048, 0
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that one task packs together. What a group leaves open at its end is a few sequences at most.
 GROUP = 20_000
-#: Words whose ids a worker remembers.
+#: Words whose ids a task remembers.
 CACHE = 400_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("group", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, `group` long"
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit numbers.
+    """Token ids of a text as little-endian unsigned 32-bit numbers, by ``tokenizers``. Names of special tokens are those tokens.
 
-    The byte-level vocabulary never joins a word with what stands before its space, nor with a line break between two words.
-    So a text whose white space is single spaces and line breaks is cut there, and the ids of each word are remembered; any
-    other text is encoded as a whole. Either way the ids are those of the whole text. Names of special tokens are ordinary text.
+    The byte-level vocabulary never joins what stands before a space and after it, nor two words at a line break: of the
+    white space between two words only a last space belongs to the word after it. So a text is cut there, and the ids of each part
+    are remembered; they are those of the whole text.
     """
 
-    _uneven = re.compile(r"\s\s|[^\S \n]|\x00")
+    _parts = re.compile(r" ?\S+|\s+(?!\S)|\s")
+    _odd = re.compile(r"[\x1c-\x1f\u180e]")  # white space to one side only
 
-    def __init__(self, path: str, pattern: str):
-        import tiktoken
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids := self.tokenizer.encode(text, add_special_tokens=False).ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
-        if self._uneven.search(text):
+        if self._odd.search(text) or self.special.search(text):
             return self.whole(text)
-        words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        known = self.known
+        parts, known = self._parts.findall(text), self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[p] for p in parts])
         except KeyError:
             if len(known) > CACHE:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.whole(w)
-            return b"".join([known[w] for w in words])
+            for p in parts:
+                if p not in known:
+                    known[p] = self.whole(p)
+            return b"".join([known[p] for p in parts])
 
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
     import public_tokenizers
 
-    return Encoder(name if "/" in name else public_tokenizers.path(name), public_tokenizers.PATTERN)
+    return Encoder(name if "/" in name else public_tokenizers.path(name))
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -94,7 +93,7 @@ def token_pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
                 yield batch_of(PIECES, zip(*rows))
         encode.known.clear()  # the worker outlives its task
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(made, PIECES_DDL)
+    return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(made, PIECES_DDL)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +139,13 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, leng
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves if asked for.
 
     A document is its token ids and then ``end``; only one of over ``length`` tokens is cut. A null or empty text is the
-    end token alone. Pieces are dealt in turn to groups of about ``group`` documents, and each group is packed by itself, so no
-    task's memory grows with the corpus. Repeated rows are packed once each; null ids are carried along. Columns other
+    end token alone. Pieces are dealt in turn to groups of about ``group`` pieces, as many as the texts' bytes let expect, and each group is packed
+    by itself, so no task's memory grows with the corpus. Repeated rows are packed once each; null ids are carried along. Columns other
     than doc_id and the text are not read, so none can clash. An empty table gives an empty result.
     """
-    groups = max(1, -(-docs.count() // group))
+    # no more than a document and a piece for each `length` bytes: a token has a byte at least
+    n = docs.agg(F.count("*") + F.coalesce(F.sum(F.floor(F.octet_length(named(text)) / length)), F.lit(0))).first()[0]
+    groups = max(1, -(-n // group))
     pieces = token_pieces(docs, text, vocabulary, length, end, groups, keep_ids)
     schema = pa.schema([*(f for f in PIECES if f.name not in ("ids", "group")), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -159,5 +160,11 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, leng
     return out if keep_ids else out.drop("ids")
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The columns of the contract, of packed sequences that are written out, ids and all."""
+    out = stored(pack(docs))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+    return packed_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
