@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.llm.common import remainder, stored, table
+from tallyforge.llm.op02_simhash import drop_near_duplicates
 from tallyforge.llm.op03_language import drop_unidentified
-from tallyforge.llm.op05_packing import pack
+from tallyforge.llm.op05_packing import packed_pieces
 from tallyforge.llm.op06_contamination import drop_contaminated
-from tallyforge.llm.op10_substrings import without_repeats
-from tallyforge.llm.similar import drop_similar
+from tallyforge.llm.op10_substrings import drop_repeats
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +22,13 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are tied by a five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
-    return drop_similar(docs)
+    """Of documents that are tied by a five-word Jaccard similarity of 0.8 or more, one stays: that with the smallest id."""
+    return drop_near_duplicates(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words go that a document with a smaller id has in a window of 13 words; so do documents that lose every word."""
-    cut = without_repeats(docs).filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_words")))
-    n_chars = F.when(F.col("_n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return drop_repeats(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +37,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(docs, keep_ids=False)
+    """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset. The ids lie packed in the shared folder."""
+    return packed_pieces(docs)
 
 
 STAGES = [
