@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from tallyforge.functions import fixed
+from tallyforge.functions.lets import bound
 from tallyforge.functions.text import ascii_digits, squash, squash_literal, squash_normalised, strip
 
 
@@ -61,9 +62,11 @@ def references(header: Column, items: Column, fold=squash_normalised) -> Column:
         F.lit(source).alias("source"),
     )
     rows = F.transform(F.coalesce(items, F.array().cast("array<struct<number:string,date:string>>")), lambda r: entry("INVOICE", r["number"], r["date"], "line_item"))
-    named = F.filter(F.concat(F.array(entry("REFERENCE", header, F.lit(""), "header")), rows), lambda e: fold(e["number"]) != "")
-    keys = F.transform(named, lambda e: F.concat_ws("|", e["type"], fold(e["number"])))
-    return F.filter(named, lambda e, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    every = F.transform(F.concat(F.array(entry("REFERENCE", header, F.lit(""), "header")), rows), lambda e, i: F.struct(fold(e["number"]).alias("number"), e["type"].alias("type"), i.alias("i"), e.alias("e")))
+    in_order = F.array_sort(F.filter(every, lambda p: p["number"] != ""))
+    again = lambda s, p, k: F.coalesce((F.get(s, k - 1)["number"] == p["number"]) & (F.get(s, k - 1)["type"] == p["type"]), F.lit(False))
+    firsts = bound(in_order, lambda s: F.filter(s, lambda p, k: ~again(s, p, k)))
+    return F.transform(F.array_sort(F.transform(firsts, lambda p: F.struct(p["i"].alias("i"), p["e"].alias("e")))), lambda p: p["e"])
 
 
 def derive(fields, transcript: Column, items: Column | None = None) -> Column:

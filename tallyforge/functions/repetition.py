@@ -8,15 +8,26 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from tallyforge.functions import fixed
+from tallyforge.functions.lets import bound
 from tallyforge.functions.text import SPACE, lines, strip
 
 
+def ends_in_cycle(text: Column, most: int, repeats: int) -> Column:
+    """The text ends with a block of 4 to ``most`` characters, not all white space, so many times over. ``text`` is named several times:
+    bind it."""
+
+    def cycles(size: Column) -> Column:
+        block = F.right(text, size)
+        return (F.right(text, size * repeats) == F.repeat(block, F.lit(repeats))) & (strip(block) != "")
+
+    return F.exists(F.sequence(F.lit(4), F.lit(most)), cycles)
+
+
 def counter_loop(text: Column) -> Column:
     """A long line, near the end, that counts on: its end is one unit six times over once digits are alike."""
-    last = lines(F.right(text, F.lit(2 * fixed.LOOP_TAIL)))
-    cycle = rf"(?s)(?!(?U:{SPACE})+\z)(.{{4,{fixed.COUNTER_MAX_UNIT}}})\1{{{fixed.COUNTER_REPEATS - 1}}}\z"
-    hidden = lambda line: F.regexp_replace(line, r"(?U)\d+", "#")
-    return F.exists(last, lambda line: (F.length(line) >= fixed.COUNTER_MIN_LINE) & hidden(line).rlike(cycle))
+    last = F.filter(lines(F.right(text, F.lit(2 * fixed.LOOP_TAIL))), lambda line: F.length(line) >= fixed.COUNTER_MIN_LINE)
+    hidden = F.transform(last, lambda line: F.regexp_replace(line, r"(?U)\d+", "#"))
+    return F.exists(hidden, lambda line: ends_in_cycle(line, fixed.COUNTER_MAX_UNIT, fixed.COUNTER_REPEATS))
 
 
 def line_run(tail: Column, repeats: int) -> Column:
@@ -33,16 +44,23 @@ def line_run(tail: Column, repeats: int) -> Column:
 
 def looks_repetitive(text: Column, tail: int = fixed.LOOP_TAIL, repeats: int = fixed.LOOP_REPEATS) -> Column:
     """The end of the text cycles: it counts on, or repeats a line, or is one block several times over."""
-    end = F.right(text, F.lit(tail))
-    block = rf"(?s)(?!(?U:{SPACE})+\z)(.{{4,{tail // repeats}}})\1{{{repeats - 1}}}\z"
-    full = F.length(text) >= tail
-    return F.coalesce(counter_loop(text) | (full & (line_run(end, repeats) | end.rlike(block))), F.lit(False))
+    end = F.when(F.length(text) >= tail, F.right(text, F.lit(tail)))
+    return F.coalesce(counter_loop(text), F.lit(False)) | F.coalesce(bound(end, lambda e: line_run(e, repeats) | ends_in_cycle(e, tail // repeats, repeats)), F.lit(False))
 
 
 def repeated_entries(raw: Column) -> Column:
-    """array<struct(entry, n)>: long descriptions and labels, and how often each is in the reply."""
+    """array<struct(entry, n)>: long descriptions and labels, in the order in which they come, and how often each is in the reply. Entries are
+    counted as runs of a sorted array."""
     found = F.regexp_extract_all(raw, F.lit(rf'"(?:description|label)"\s*:\s*"([^"]{{{fixed.ENTRY_MIN_CHARS},}})"'), F.lit(1))
-    return F.transform(F.array_distinct(found), lambda e: F.struct(e.alias("entry"), F.size(F.filter(found, lambda x: x == e)).alias("n")))
+    in_order = lambda f: F.array_sort(F.transform(f, lambda e, i: F.struct(e.alias("entry"), i.alias("i"))))
+
+    def counted(s: Column) -> Column:
+        placed = F.transform(s, lambda p, k: F.struct(p["i"].alias("i"), p["entry"].alias("entry"), k.alias("k")))
+        firsts = F.filter(placed, lambda p: (p["k"] == 0) | (F.get(s, p["k"] - 1)["entry"] != p["entry"]))
+        sized = lambda f: F.array_sort(F.transform(f, lambda p, j: F.struct(p["i"].alias("i"), p["entry"].alias("entry"), (F.coalesce(F.get(f, j + 1)["k"], F.size(s)) - p["k"]).alias("n"))))
+        return F.transform(bound(firsts, sized), lambda p: F.struct(p["entry"].alias("entry"), p["n"].alias("n")))
+
+    return bound(bound(found, in_order), counted)
 
 
 def repeated_list(raw: Column, threshold: int = fixed.ENTRY_REPEATS) -> Column:
@@ -54,9 +72,10 @@ def is_envelope(raw: Column) -> Column:
     return F.coalesce(raw.rlike(rf'(?U)\A{SPACE}*[`json \n]*\{{"natural_text"'), F.lit(False))
 
 
-def why_unparsable(raw: Column, truncated: Column) -> Column:
+def why_unparsable(raw: Column, truncated: Column, looped: Column | None = None) -> Column:
+    """The first reason that fits. ``looped`` is looks_repetitive(raw), where that is known already."""
     return (
-        F.when(looks_repetitive(raw), "looped")
+        F.when(looks_repetitive(raw) if looped is None else looped, "looped")
         .when(is_envelope(raw), "envelope")
         .when(repeated_list(raw), "repeated list")
         .when(F.coalesce(truncated, F.lit(False)), "truncated")

@@ -44,22 +44,66 @@ def judge_scalars(truth: DataFrame, fields: DataFrame, doc: str = "doc_id") -> D
     return ready.select(doc, F.col("key").alias("path"), best.alias("b"), F.coalesce("value", F.lit("")).alias("actual"), tier.alias("tier")).select(doc, "path", F.col("b.reading").alias("expected"), "actual", F.col("b.status").alias("status"), "tier")
 
 
+_ITEMS = "array<struct<" + ",".join(f"{k}:string" for k in fixed.ITEM_KEYS) + ">>"
+_OTHERS = "array<struct<label:string,value:string>>"
+
+
 def score_fields(truth: DataFrame, fields: DataFrame, transcripts: DataFrame | None = None, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(judged rows, tallies by document): the truth's scalars and, where transcripts of the truth are given, the cells of their charge
     table. Other fields are never part of it. ``overall`` counts both; ``checked`` says on how many scalars it stands."""
     judged = judge_scalars(truth, fields, doc).withColumn("kind", F.lit("scalar"))
     if transcripts is not None:
-        row = F.struct(*fixed.ITEM_KEYS)
-        rows = tables.item_rows(tables.find_tables(transcripts, doc), squash_normalised, doc).filter("kept")
-        wanted = rows.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", row.alias("r")))), lambda x: x["r"]).alias("truth"))
-        none = F.array().cast("array<struct<" + ",".join(f"{k}:string" for k in fixed.ITEM_KEYS) + ">>")
-        docs = wanted.join(fields.select(doc, F.col("fields.line_items").alias("_items")), doc, "left").withColumn("actual", F.coalesce("_items", none))
-        cells = match.score_items(docs.select(doc, "truth", "actual"), squash_normalised, doc)[0]
-        judged = judged.unionByName(cells.select(doc, "path", "expected", "actual", "status", F.lit("item").alias("tier"), F.lit("item").alias("kind")))
+        judged = judged.unionByName(judge_items(tables.find_tables(transcripts, doc), fields, doc))
     overall = scores.tally(judged, doc).join(judged.groupBy(doc).agg(F.count_if(F.col("kind") == "scalar").alias("checked")), doc)
     return judged, overall
 
 
+def judge_items(found: DataFrame, fields: DataFrame, doc: str = "doc_id", overrides: Column | None = None) -> DataFrame:
+    """The cells of the charge tables among ``found`` against the extracted items, as judged rows."""
+    row = F.struct(*fixed.ITEM_KEYS)
+    rows = tables.item_rows(found, squash_normalised, doc, overrides).filter("kept")
+    wanted = rows.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", row.alias("r")))), lambda x: x["r"]).alias("truth"))
+    none = F.array().cast(_ITEMS)
+    docs = wanted.join(fields.select(doc, F.col("fields.line_items").alias("_items")), doc, "left").withColumn("actual", F.coalesce("_items", none))
+    cells = match.score_items(docs.select(doc, "truth", "actual"), squash_normalised, doc)[0]
+    return cells.select(doc, "path", "expected", "actual", "status", F.lit("item").alias("tier"), F.lit("item").alias("kind"))
+
+
+def score_cases(truth: DataFrame, fields: DataFrame, transcripts: DataFrame, doc: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(judged rows, one row a case) of whole truth files, as read_truth gives them, against extractions.
+
+    A judged row is a scalar's, an item cell's or another field's (kind); item cells are judged where the truth scores the table, under the
+    headings that its table_columns name. A case's row has the overall tally of scalars and item cells, as a struct each those
+    of the scalars and of their first tier, of the items and of the other fields, the coverage, and the truth's warnings with the
+    reason for a table that was not scored. Truth files that could not be read have their error and no tally.
+    """
+    good = truth.filter("error is null")
+    readings = good.select(doc, F.explode("rows").alias("r")).select(doc, "r.*")
+    judged = judge_scalars(readings, fields, doc).withColumn("kind", F.lit("scalar"))
+    scored = good.filter("score_table").select(doc, F.col("columns").alias("_columns")).join(transcripts.select(doc, "text"), doc)
+    found = tables.find_tables(scored, doc).join(scored.select(doc, "_columns"), doc)
+    judged = judged.unionByName(judge_items(found, fields, doc, F.col("_columns")))
+    extracted = fields.select(doc, F.coalesce(F.col("fields.other_fields").cast(_OTHERS), F.array().cast(_OTHERS)).alias("actual"))
+    others = good.filter("others is not null").select(doc, F.col("others").alias("truth")).join(extracted, doc, "left").withColumn("actual", F.coalesce("actual", F.array().cast(_OTHERS)))
+    other_rows = match.score_others(others, squash_normalised, doc)
+    judged = judged.unionByName(other_rows.select(doc, "path", "expected", "actual", "status", F.lit("other").alias("tier"), F.lit("other").alias("kind")))
+
+    tallied = lambda rows, name: rows.groupBy(doc).agg(F.struct(*scores.tally_columns(F.col("status"))).alias(name))
+    scalar, item = judged.filter("kind = 'scalar'"), judged.filter("kind = 'item'")
+    overall = scores.tally(judged.filter("kind <> 'other'"), doc)
+    parts = [tallied(scalar, "scalars"), tallied(scalar.filter("tier = 'p1'"), "p1"), tallied(item, "items"), tallied(judged.filter("kind = 'other'"), "other_fields")]
+    outcome = tables.table_outcomes(scored, squash_normalised, doc, "text", F.col("_columns")).select(doc, F.lit(True).alias("_asked"), F.col("error").alias("_why"), "columns", "unmapped")
+    rows = truth.select(doc, "error", "warnings", "score_table", F.size(F.coalesce("rows", F.array().cast("array<struct<key:string,readings:array<string>>>"))).alias("checked"), F.col("others").isNotNull().alias("others_checked"))
+    rows = rows.join(outcome, doc, "left")
+    why = F.when(F.col("error").isNotNull(), F.lit(None)).when(~F.col("score_table"), "score_table is false").when(F.col("_asked").isNull(), "no transcript").otherwise(F.col("_why"))
+    told = F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.when(why.isNotNull(), F.array(F.concat(F.lit("table not scored: "), why))).otherwise(F.array().cast("array<string>")))
+    coverage = F.struct(F.col("checked").alias("scalars_checked"), F.lit(len(fixed.SCALARS)).alias("scalars_total"), (F.col("error").isNull() & why.isNull()).alias("items_checked"), F.col("others_checked").alias("other_fields_checked"))
+    out = rows.select(doc, "error", told.alias("warnings"), coverage.alias("coverage"), "columns", "unmapped").join(overall, doc, "left")
+    for part in parts:
+        out = out.join(part, doc, "left")
+    return judged, out
+
+
 def ungrounded(values: DataFrame, index: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Answers (doc, key, value) that their page does not hold; blank and nil ones are not asked."""
     rows = values.join(index, doc)

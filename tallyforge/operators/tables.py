@@ -22,16 +22,19 @@ def cells(line: Column) -> Column:
 def find_tables(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, pos, header, rows) of each table: three or more lines that begin with a pipe, the second a rule. All of it within a
     document's row: no shuffle."""
-    state = F.struct(F.array().cast("array<array<string>>").alias("blocks"), F.lit(False).alias("open"))
+    piped = lambda ls: F.transform(ls, lambda line: line.rlike(rf"(?U)\A{SPACE}*\|"))
 
-    def step(s: Column, line: Column) -> Column:
-        piped = line.rlike(rf"(?U)\A{SPACE}*\|")
-        n = F.size(s["blocks"])
-        joined = F.transform(s["blocks"], lambda b, i: F.when(i == n - 1, F.concat(b, F.array(line))).otherwise(b))
-        grown = F.when(s["open"], joined).otherwise(F.concat(s["blocks"], F.array(F.array(line))))
-        return F.struct(F.when(piped, grown).otherwise(s["blocks"]).alias("blocks"), piped.alias("open"))
+    def cut(ls: Column) -> Column:
+        """Runs of piped lines, from the places where one begins and where one ends."""
 
-    blocks = F.aggregate(lines(F.coalesce(F.col(text), F.lit(""))), state, step)["blocks"]
+        def runs(p: Column) -> Column:
+            at, on = F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.coalesce(F.get(p, i), F.lit(False))
+            begins, ends = F.filter(at, lambda i: on(i) & ~on(i - 1)), F.filter(at, lambda i: on(i) & ~on(i + 1))
+            return F.zip_with(begins, ends, lambda a, b: F.slice(ls, a + 1, b - a + 1))
+
+        return bound(piped(ls), runs)
+
+    blocks = bound(lines(F.coalesce(F.col(text), F.lit(""))), cut)
     # a rule has at least one cell, and every cell that is not empty is dashes
     dashes = lambda cs: (F.size(cs) > 0) & F.forall(cs, lambda c: (c == "") | c.rlike(r"\A:?-{2,}:?\z"))
     ruled = lambda b: (F.size(b) >= 3) & bound(cells(F.get(b, F.lit(1))), dashes)
@@ -64,15 +67,42 @@ def heading_keys(header: Column, overrides: Column | None = None, fold=squash_no
     return F.aggregate(header, F.array().cast(_NO_CELLS), step)
 
 
-def item_rows(tables: DataFrame, fold=squash_normalised, doc: str = "doc_id", overrides: Column | None = None) -> DataFrame:
-    """(doc, row, kept, why, and a column for each item key) from each document's charge table: the one with the most named columns, then
-    the most rows, then the first; under two named columns there is none. Rows that total others, have figures without a
-    description, or no figure at all are not kept."""
+def charge_tables(tables: DataFrame, fold=squash_normalised, doc: str = "doc_id", overrides: Column | None = None) -> DataFrame:
+    """(doc, header, keys, rows) of each document's charge table: the one with the most named columns, then the most rows, then the first;
+    under two named columns there is none."""
     named = bound(heading_keys(F.col("header"), overrides, fold), lambda k: F.struct(k.alias("keys"), F.size(F.array_compact(k)).alias("n")))
     # the outer explode keeps the filter from working the keys out again
     keyed = tables.select("*", F.explode_outer(F.array(named)).alias("k")).select("*", "k.keys", "k.n").drop("k").filter("n >= 2")
     best = Window.partitionBy(doc).orderBy(F.desc("n"), F.desc(F.size("rows")), "pos")
-    charge = keyed.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
+    return keyed.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select(doc, "header", "keys", "rows")
+
+
+def _is_halves(header: Column, keys: Column, at: Column, fold) -> Column:
+    """The heading at a place is blank and right of money: it is that money's hundredths."""
+    return (at > 0) & (fold(F.get(header, at)) == "") & F.coalesce(F.get(keys, at - 1).isin(*fixed.MONEY_CELLS), F.lit(False))
+
+
+def table_outcomes(docs: DataFrame, fold=squash_normalised, doc: str = "doc_id", text: str = "text", overrides: Column | None = None) -> DataFrame:
+    """(doc, columns, unmapped, error) for every row of docs: which heading stands for which item key, headings that stand for none, and why
+    there is no charge table to read."""
+    tables = find_tables(docs, doc, text)
+    if overrides is not None:
+        tables = tables.join(docs.select(doc, overrides.alias("_overrides")), doc)
+        overrides = F.col("_overrides")
+    charge = charge_tables(tables, fold, doc, overrides)
+    pairs = F.zip_with("header", "keys", lambda h, k: F.struct(h.alias("heading"), k.alias("key")))
+    columns = F.map_from_entries(F.array_sort(F.filter(F.array_distinct(pairs), lambda p: p["key"].isNotNull())))
+    loose = F.filter(F.transform("header", lambda h, i: F.when(F.get("keys", i).isNull() & (fold(h) != "") & ~_is_halves(F.col("header"), F.col("keys"), i, fold), h)), lambda h: h.isNotNull())
+    told = charge.select(doc, columns.alias("columns"), loose.alias("unmapped"))
+    some = tables.groupBy(doc).agg(F.count("*").alias("_tables"))
+    error = F.when(F.col("_tables").isNull(), "no table").when(F.col("columns").isNull(), "no table whose headings name two or more item keys")
+    return docs.select(doc).distinct().join(some, doc, "left").join(told, doc, "left").select(doc, "columns", "unmapped", error.alias("error"))
+
+
+def item_rows(tables: DataFrame, fold=squash_normalised, doc: str = "doc_id", overrides: Column | None = None) -> DataFrame:
+    """(doc, row, kept, why, and a column for each item key) from each document's charge table. Rows that total others, have figures
+    without a description, or no figure at all are not kept."""
+    charge = charge_tables(tables, fold, doc, overrides)
     rows = charge.select(doc, "header", "keys", F.posexplode("rows").alias("row", "cells"))
     out = {}
     for key in fixed.ITEM_KEYS:

@@ -99,14 +99,37 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.fields\.json\z", "").alias("id"), parse_truth(F.col("value")).alias("truth")).select("id", "truth.*")
 
 
-def truth_skeleton() -> dict:
-    """What an unfilled truth file says: nothing is checked."""
-    return {**dict.fromkeys(fixed.SCALARS), "other_fields": None, "table_columns": {}, "score_table": False}
-
-
-def write_truth_skeletons(cases: DataFrame, path: str) -> None:
-    """A skeleton for each case, in a folder that must not exist: what is filled in is never overwritten."""
-    cases.select("id", F.lit(json.dumps(truth_skeleton())).alias("value")).write.mode("ignore").partitionBy("id").text(path)
+def truth_skeleton(case: str, pdf: str = "", kind: str = "") -> dict:
+    """What an unfilled truth file says: nothing is checked yet. Keys with an underscore are notes, which the reader passes over."""
+    return {
+        "_case": case,
+        "_source": pdf,
+        "_kind": kind,
+        "_notes": ["null: not checked", '"": the document does not print it', "a list: any of these readings"],
+        **dict.fromkeys(fixed.SCALARS),
+        "_other_fields_template": [{"label": "", "value": ""}],
+        "other_fields": None,
+        "table_columns": None,
+        "score_table": True,
+    }
+
+
+def write_truth_skeletons(cases: DataFrame, path: str) -> list[str]:
+    """Writes <id>.fields.json for each case that has none, and returns their names; what is there is never overwritten. Cases are files that
+    people fill in: the driver takes them one at a time."""
+    spark = cases.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    note = lambda c: F.col(c) if c in cases.columns else F.lit("").alias(c)
+    written = []
+    for case in cases.select("id", note("pdf"), note("kind")).dropDuplicates(["id"]).orderBy("id").toLocalIterator():
+        place = hadoop.Path(f"{path}/{case.id}.fields.json")
+        if not files.exists(place):
+            out = files.create(place, False)
+            out.write(bytearray(json.dumps(truth_skeleton(case.id, case.pdf or "", case.kind or ""), ensure_ascii=False, indent=2).encode() + b"\n"))
+            out.close()
+            written.append(place.getName())
+    return written
 
 
 def read_runlog_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -194,10 +217,13 @@ def structured_reply(body: Column) -> Column:
     return F.struct(strip(F.coalesce(text, F.lit(""))).alias("text"), F.coalesce(why == "length", F.lit(False)).alias("truncated"), tokens.alias("tokens"))
 
 
-def step_values(reply: Column, keys: tuple[str, ...]) -> Column:
-    """Only the keys that a step owns, as strings; what is no scalar is null."""
-    plain = lambda k: F.when(~F.coalesce(F.get_json_object(reply, f"$.{k}"), F.lit("")).rlike(r"\A[\[{]"), F.get_json_object(reply, f"$.{k}"))
-    return F.struct(*(plain(k).alias(k) for k in keys))
+def step_values(reply: Column, keys: tuple[str, ...], lists: tuple[str, ...] = ()) -> Column:
+    """Only the keys that a step owns: scalars as strings, null if they are none, and lists as array<map<string,string>> of their objects,
+    empty if they are none and null if they are missing."""
+    at = lambda k: F.get_json_object(reply, f"$.{k}")
+    plain = lambda k: F.when(~F.coalesce(at(k), F.lit("")).rlike(r"\A[\[{]"), at(k))
+    objects = lambda k: F.transform(F.filter(F.coalesce(F.from_json(at(k), "array<string>"), F.array().cast("array<string>")), lambda e: e.startswith("{")), lambda e: F.from_json(e, "map<string,string>"))
+    return F.struct(*(plain(k).alias(k) for k in keys), *(F.when(at(k).isNotNull(), objects(k)).alias(k) for k in lists))
 
 
 def sse_deltas(streams: DataFrame, text: str = "value") -> DataFrame:

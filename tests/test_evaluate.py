@@ -1,10 +1,13 @@
 """Whole evaluations over small cases."""
 
+import json
+
 import pytest
 
 from tallyforge import settings
 from tallyforge.functions import fixed
 from tallyforge.operators import evaluate, grounding
+from tallyforge.sources import readers
 from tests.test_operators import FIELDS, fields_row
 
 PAGE = "Tax Invoice 17\n| Description | Amount |\n|---|---|\n| Room | 100.00 |\n| Meal | 20 |\n| Total | 120 |\nPrices include VAT"
@@ -33,6 +36,31 @@ def test_fields_against_truth(spark, fields, pages):
     assert text.startswith("4 of 7 correct: 57.14 %") and text.endswith("and 2 more")
 
 
+def test_whole_truth_files_against_extractions(spark, tmp_path):
+    page = "| Charge | Amount |\n|---|---|\n| Room | 100.00 |\n"
+    files = {
+        "a": {"document_type": ["Invoice", "Tax Invoice"], "document_number": "17", "table_columns": {"Charge": "description"}, "other_fields": [{"label": "PO", "value": ["7", "8"]}]},
+        "b": {"currency": "THB", "score_table": False, "odd": 1},
+        "c": {"currency": "THB"},
+        "d": None,
+    }
+    for name, truth in files.items():
+        (tmp_path / f"{name}.fields.json").write_text("[" if truth is None else json.dumps(truth))
+    row = fields_row(document_type="tax invoice", document_number="71", currency="THB", line_items=[{"description": "room", "amount": "90"}], other_fields=[{"label": "po", "value": "8"}])
+    fields = spark.createDataFrame([(k, row) for k in "abcd"], FIELDS.replace("doc_id int", "id string"))
+    transcripts = spark.createDataFrame([("a", page), ("b", page), ("c", "no table")], "id string, text string")
+    judged, cases = evaluate.score_cases(readers.read_truth(spark, str(tmp_path)), fields, transcripts)
+    status = {(r.id, r.path): (r.status, r.kind) for r in judged.collect()}
+    assert status["a", "document_type"] == ("correct", "scalar") and status["a", "line_items[0].description"] == ("correct", "item") and status["a", "line_items[0].amount"] == ("wrong", "item")
+    assert status["a", "other_fields[PO]"] == ("correct", "other") and ("b", "line_items[0].amount") not in status
+    got = {r.id: r for r in cases.collect()}
+    assert set(got) == set("abcd") and got["d"].error == "not JSON" and got["d"].expected is None and not got["d"].coverage.items_checked
+    assert (got["a"].correct, got["a"].expected, got["a"].scalars.correct, got["a"].p1.expected, got["a"]["items"].wrong, got["a"].other_fields.correct) == (2, 4, 1, 2, 1, 1)
+    assert tuple(got["a"].coverage) == (2, 14, True, True) and got["a"].columns == {"Charge": "description", "Amount": "amount"} and got["a"].warnings == []
+    assert tuple(got["b"].coverage) == (1, 14, False, False) and got["b"].warnings[-1] == "table not scored: score_table is false" and len(got["b"].warnings) == 2
+    assert got["c"].warnings == ["table not scored: no table"] and got["c"].accuracy == 1.0 and got["c"]["items"] is None
+
+
 def test_audit_cells(spark, fields, pages):
     checked = grounding.check(fields, pages)
     truth = spark.createDataFrame([(1, "document_type", ["Tax Invoice"])], "doc_id int, key string, readings array<string>")

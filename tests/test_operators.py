@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tallyforge.functions import fixed
+from tallyforge.functions import fixed, repetition
 from tallyforge.operators import grounding, match, runlog, scores, tables
 from tallyforge.sources import readers
 from tallyforge.streaming import events
@@ -108,7 +108,9 @@ def test_case_matching(spark):
         [("INV BS1234567890.PDF", ""), ("inv_bs1234567890.pdf", ""), ("old-one.PDF", ""), ("x.pdf", "CC"), ("new BS1234567890 x.pdf", ""), ("re F5550001234tinv.pdf", None), ("nothing.pdf", "")],
         "file string, sha256 string",
     )
-    got = {r.file: (r.case, r.how) for r in match.match_cases(files, cases).collect()}
+    rows = match.match_cases(files.union(files.filter("file = 'x.pdf'")), cases).collect()
+    got = {r.file: (r.case, r.how) for r in rows}
+    assert len(rows) == 8 and sum(r.file == "x.pdf" for r in rows) == 2
     assert got == {
         "INV BS1234567890.PDF": ("s1", "filename"), "inv_bs1234567890.pdf": ("s1", "filename (normalised)"), "old-one.PDF": ("s2", "manifest alias"),
         "x.pdf": ("s3", "file contents"), "new BS1234567890 x.pdf": (None, None), "re F5550001234tinv.pdf": ("s3", "document number"), "nothing.pdf": (None, None),
@@ -139,6 +141,8 @@ def test_other_fields(spark):
     docs = spark.createDataFrame([(1, [("Due date", "1/1"), ("PO", "7"), ("PO", "")], [("due", "1/1"), ("P.O. no", "8")])], f"doc_id int, truth {ddl}, actual {ddl}")
     got = [(r.path, r.status, r.label_found) for r in match.score_others(docs).collect()]
     assert got == [("other_fields[Due date]", "correct", True), ("other_fields[PO]", "wrong", True), ("other_fields[PO]", "missed", False)]
+    accepted = spark.createDataFrame([(1, [("Due date", ["2/2", "1/1"])], [("due", "1/1")])], f"doc_id int, truth array<struct<label:string,readings:array<string>>>, actual {ddl}")
+    assert [(r.expected, r.status) for r in match.score_others(accepted).collect()] == [("1/1", "correct")]
 
 
 def test_resolve_model(spark):
@@ -175,6 +179,45 @@ def test_tables(spark):
     assert (rows[0].description, rows[0].amount, rows[0].vat, rows[0].unit_price, rows[1].amount) == ("Room | one", "9,741 60", "7.00", "", "535")
 
 
+def test_table_outcomes(spark):
+    head = "|{}|\n|---|---|---|\n|a|1|2|\n"
+    docs = spark.createDataFrame([(1, head.format("Description|Amount| ")), (2, head.format("Description|Zimmer|Menge")), (3, "none"), (4, head.format("Description|Zimmer|Menge"))], "doc_id int, text string")
+    wide = docs.withColumn("columns", F.when(F.col("doc_id") == 4, F.create_map(F.lit("zimmer"), F.lit("period"))))
+    got = {r.doc_id: (r.columns, r.unmapped, r.error) for r in tables.table_outcomes(wide, overrides=F.col("columns")).collect()}
+    assert got == {
+        1: ({"Description": "description", "Amount": "amount"}, [], None), 2: (None, None, "no table whose headings name two or more item keys"),
+        3: (None, None, "no table"), 4: ({"Description": "description", "Zimmer": "period"}, ["Menge"], None),
+    }
+
+
+def test_skeletons_are_read_and_never_overwritten(spark, tmp_path):
+    cases = spark.createDataFrame([("a", "A.pdf", "k"), ("b", None, None)], "id string, pdf string, kind string")
+    (tmp_path / "a.fields.json").write_text('{"currency": "THB"}')
+    assert readers.write_truth_skeletons(cases, str(tmp_path)) == ["b.fields.json"]
+    more = spark.createDataFrame([("a",), ("c",)], "id string")
+    assert readers.write_truth_skeletons(more, str(tmp_path)) == ["c.fields.json"]
+    got = {r.id: r for r in readers.read_truth(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"].rows[0].readings == ["THB"]
+    assert got["b"].rows == [] and got["b"].others is None and got["b"].warnings == [] and got["b"].error is None and got["b"].score_table
+
+
+def test_steps_own_their_keys(spark):
+    raw = ['{"currency": "THB", "subtotal": 5, "seller_name": {"a": 1}, "line_items": [{"description": "x"}, 3, "y", {"amount": 7}], "odd": 1}', '{"line_items": "none"}', "{}"]
+    rows = spark.createDataFrame([(r,) for r in raw], "r string").select(readers.step_values(F.col("r"), ("currency", "subtotal", "seller_name"), ("line_items",)).alias("v")).collect()
+    assert [tuple(r.v) for r in rows] == [("THB", "5", None, [{"description": "x"}, {"amount": "7"}]), (None, None, None, []), (None, None, None, None)]
+
+
+def test_values_outside_the_schema_are_audited(spark):
+    ddl = FIELDS.replace("fields struct<", "fields struct<iban:string,pages:int,").replace("net_amount:string>>", "net_amount:string,lot:string>>")
+    row = fields_row(document_number="17", line_items=[{"description": "Room"}])
+    row["line_items"][0]["lot"] = "L9"
+    fields = spark.createDataFrame([(1, {**row, "iban": "DE00", "pages": 2}), (2, {**row, "iban": None, "pages": None})], ddl)
+    pages = spark.createDataFrame([(1, "17 Room 2"), (2, "17 Room L9")], "doc_id int, text string")
+    got = {(r.doc_id, r.path): (r.status, r.required) for r in grounding.check(fields, pages).collect()}
+    assert got[1, "iban"] == ("ungrounded", False) and got[1, "pages"] == ("grounded", False) and got[1, "line_items[0].lot"] == ("ungrounded", False)
+    assert (2, "iban") not in got and got[2, "line_items[0].lot"] == ("grounded", False) and got[2, "line_items[0].amount"] == ("missing", True)
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "manifest.json").write_text(json.dumps({"cases": [{"id": "a", "pdf": "A.pdf", "pages": 1, "kind": "k"}, {"id": "b", "pdf": "B.pdf", "pages": 2, "kind": "k", "aliases": ["x"]}]}))
     (tmp_path / "a.md").write_text("md")
@@ -216,13 +259,19 @@ def test_streams(spark, tmp_path):
     lines = [{"event": "token", "job": "j", "page": 1, "text": loop}, {"event": "page_done", "job": "j", "page": 1, "new_tokens": 5, "seconds": 1.5}, {"event": "token", "job": "j", "page": 2, "text": "fine"}]
     (src / "a.json").write_text("\n".join(map(json.dumps, lines)))
     for frame, mode, name in ((events.watch_pages(events.read_events(spark, str(src))), "update", "watched"), (events.document_progress(events.read_events(spark, str(src))), "complete", "progress")):
-        q = frame.writeStream.outputMode(mode).format("memory").queryName(name).start()
-        q.processAllAvailable()
-        q.stop()
+        frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination(60)
     assert {(r.page, r.looped) for r in spark.sql("select * from watched").collect()} == {(1, True), (2, False)}
     assert [(r.pages_done, r.tokens) for r in spark.sql("select * from progress").collect()] == [(1, 5)]
 
 
+def test_loops_in_a_stream_are_those_of_whole_texts(spark):
+    texts = ["same words again " * 60, "x" * 700, " " * 700, "ab\n" * 300, "long line\n" * 4 + "y" * 100, "".join(f"year {i} " for i in range(60)), "fine " + "".join(chr(97 + i * i % 26) for i in range(900)), "a b c", "", "tail\n\n" * 200 + "</end>"]
+    texts += ["q" * 580 + "\n" + "row\n" * 5, "row with text\n\n" * 30 + "p" * 300, "".join(f"n{i}\n" for i in range(300))]
+    told = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", repetition.looks_repetitive(F.col("t")).alias("looped")).collect()
+    assert {r.i: r.looped for r in told} == {i: events.looped(t[-events.TAIL :]) for i, t in enumerate(texts)}
+    assert [events.looped(t[-events.TAIL :]) for t in texts] == [True, True, False, True, False, True, True, False, False, True, True, True, False]
+
+
 def test_truth_scores_itself_in_full(spark):
     rows = spark.createDataFrame([("d", "p1", v, v) for v in ("a", "1,200", "x y")], "doc_id string, tier string, e string, a string")
     from tallyforge.functions.judge import judge
@@ -235,9 +284,19 @@ def test_late_extracts_and_hourly_counts(spark, tmp_path):
     ddl = "seq long, timestamp string, file string, run_type string, p1_present string, p2_present string, grounded_pct string, extract_mode string, extract_updated string"
     spark.createDataFrame([(0, "t", "f", "", "", "", "", "x", "")], ddl).write.parquet(f"{tmp_path}/log")
     batch = spark.createDataFrame([(0, "t", "f", "1", "0", "9", "late")], "seq long, timestamp string, file string, p1_present string, p2_present string, grounded_pct string, extract_mode string")
-    events.late_extracts(f"{tmp_path}/log", f"{tmp_path}/out")(batch, 3)
+    apply = events.late_extracts(f"{tmp_path}/log", f"{tmp_path}/out")
+    assert events.latest_log(spark, f"{tmp_path}/log", f"{tmp_path}/out").first().extract_mode == "x"
+    apply(batch, 3)
     row = spark.read.parquet(f"{tmp_path}/out").first()
     assert (row.extract_mode, row.p1_present, row.extract_updated, row.batch) == ("late", "1", "batch 3", 3)
+    spark.createDataFrame([(0, "t", "f", "", "", "", "", "x", ""), (1, "t", "g", "", "", "", "", "x", "")], ddl).write.parquet(f"{tmp_path}/log2")
+    columns = "seq long, timestamp string, file string, p1_present string, p2_present string, grounded_pct string, extract_mode string"
+    apply = events.late_extracts(f"{tmp_path}/log2", f"{tmp_path}/out2")
+    for turn in (0, 1, 1):  # a batch that runs again starts from the same snapshot
+        apply(spark.createDataFrame([(0, "t", "fg"[turn], "1", "0", "9", f"late {turn}")], columns), turn)
+    rows = events.latest_log(spark, f"{tmp_path}/log2", f"{tmp_path}/out2").collect()
+    assert {r.file: (r.extract_mode, r.extract_updated) for r in rows} == {"f": ("late 0", "batch 0"), "g": ("late 1", "batch 1")}
+    assert events.snapshots(spark, f"{tmp_path}/out2") == [0, 1]
     source = "/root/testdata/sf0.001/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet("/root/testdata/sf0.001", pathGlobFilter="events.parquet")
     q = events.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("hourly").start()
