@@ -11,7 +11,7 @@ from tallyforge.llm.common import hashable, named, plain, scratch_path, stored,
 
 SEED = 20240229
 #: Bytes of records that one task shuffles in memory.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 SHARDS = 24
 #: Equal records that may meet in one bucket.
 COPIES = 1000
