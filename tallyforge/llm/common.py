@@ -85,10 +85,10 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Computes df once, into the shared folder, and cuts its lineage there. Readers survive the loss of any executor."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -81,6 +81,15 @@ def encoder(name: str) -> Encoder:
     return Encoder(path, path.removesuffix(".json") + ".tiktoken", public_tokenizers.PATTERN)
 
 
+def planes(ids: bytes) -> bytes:
+    """All first bytes of the ids, then all second ones and so on: the high ones are zeros, which a shuffle packs to next to nothing."""
+    return np.frombuffer(ids, dtype=np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplaned(data: bytes) -> bytes:
+    return np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T.tobytes()
+
+
 def cut(n: int, length: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens. Only over ``length`` they are more than one, and the first is the short one."""
     first = n if n <= length else n % length or length
@@ -88,7 +97,7 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, end: int = END, groups: int = 1, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids, group) for each piece of each row; ids are null unless asked for."""
+    """(doc_id, piece, start, length, ids_crc32, ids, group) for each piece of each row; ids, as ``planes``, are null unless asked for."""
     tail = np.array([end], dtype="<u4").tobytes()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +111,7 @@ def token_pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
                 for piece, (start, n) in enumerate(cut(len(ids) // 4, length)):
                     part = ids[4 * start : 4 * (start + n)]
                     turn += 1
-                    rows.append((doc_id, piece, start, n, zlib.crc32(part), part if keep_ids else None, turn % groups))
+                    rows.append((doc_id, piece, start, n, zlib.crc32(part), planes(part) if keep_ids else None, turn % groups))
             if rows:
                 yield batch_of(PIECES, zip(*rows))
         encode.known.clear()  # the worker outlives its task
@@ -167,7 +176,8 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, leng
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("start", "ascending")])
         bins, offsets = pack_lengths(t.column("length").to_numpy(), length)
         first = t.column("group")[0].as_py() << 32
-        return pa.table([*(t.column(n) for n in schema.names[:5]), pa.array(bins + first), pa.array(offsets), t.column("ids")], schema=schema)
+        ids = pa.array([unplaned(x) if x is not None else None for x in t.column("ids").to_pylist()], pa.binary())
+        return pa.table([*(t.column(n) for n in schema.names[:5]), pa.array(bins + first), pa.array(offsets), ids], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
     out = pieces.groupBy("group").applyInArrow(packed, ddl)
@@ -176,7 +186,7 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, leng
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """The columns of the contract, of packed sequences that are written out, ids and all."""
-    out = stored(pack(docs))
+    out = stored(pack(docs), compression="zstd")
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
