@@ -7,22 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from tallyforge.functions import fixed
+from tallyforge.functions.lets import bound
 from tallyforge.functions.numbers import close
 from tallyforge.functions.text import SPACE
 
 
 def wording_basis(text: Column) -> Column:
     """struct(basis, phrase): what the page says, exclusive wordings asked first; nulls if it says nothing."""
+    tidy = lambda found: F.regexp_replace(F.regexp_replace(found, rf"(?U){SPACE}+", " "), r"\A[()\[\]（） ]+|[()\[\]（） ]+\z", "")
 
-    def phrase(pattern: str) -> Column:
-        found = F.regexp_extract(text, pattern, 0)
-        flat = F.regexp_replace(F.regexp_replace(found, rf"(?U){SPACE}+", " "), r"\A[()\[\]（） ]+|[()\[\]（） ]+\z", "")
-        return F.when(text.rlike(pattern), flat)
+    def told(page: Column) -> Column:
+        first = lambda patterns: F.coalesce(*(F.regexp_substr(page, F.lit(p)) for p in patterns))
+        return F.struct(first(fixed.EXCLUSIVE_WORDING).alias("exclusive"), first(fixed.INCLUSIVE_WORDING).alias("inclusive"))
 
-    exclusive = F.coalesce(*map(phrase, fixed.EXCLUSIVE_WORDING))
-    inclusive = F.coalesce(*map(phrase, fixed.INCLUSIVE_WORDING))
-    basis = F.when(exclusive.isNotNull(), "exclusive").when(inclusive.isNotNull(), "inclusive")
-    return F.struct(basis.alias("basis"), F.coalesce(exclusive, inclusive).alias("phrase"))
+    def basis(found: Column) -> Column:
+        named = F.when(found["exclusive"].isNotNull(), "exclusive").when(found["inclusive"].isNotNull(), "inclusive")
+        return F.struct(named.alias("basis"), tidy(F.coalesce(found["exclusive"], found["inclusive"])).alias("phrase"))
+
+    return bound(bound(text, told), basis)
 
 
 def haystack(transcript: Column, items: Column, others: Column) -> Column:
@@ -37,7 +39,11 @@ def haystack(transcript: Column, items: Column, others: Column) -> Column:
 
 def vat_basis(line_total: Column, subtotal: Column, vat: Column, incl: Column, text: Column) -> Column:
     """struct(basis, inclusive, source, evidence, subtotal_includes_vat). The figures win over the words; a conflict is told."""
-    told = wording_basis(text)
+    known = {"line_total": line_total, "subtotal": subtotal, "vat": vat, "incl": incl, "told": wording_basis(text)}
+    return bound(F.struct(*(v.alias(k) for k, v in known.items())), lambda x: _decided(*(x[k] for k in known)))
+
+
+def _decided(line_total: Column, subtotal: Column, vat: Column, incl: Column, told: Column) -> Column:
     known = reduce(lambda a, b: a & b, [c.isNotNull() for c in (line_total, subtotal, incl)])
     hits_incl, hits_sub = close(line_total, incl), close(line_total, subtotal)
     summed = F.when(known & ~close(subtotal, incl) & (hits_incl != hits_sub), F.when(hits_incl, "inclusive").otherwise("exclusive"))

@@ -302,10 +302,10 @@ files AS (SELECT c_custkey AS k, c_custkey % 5 AS kind, lpad(CAST(c_custkey // 2
 hit AS (SELECT files.file, CASE WHEN kind <= 3 AND cases.id IS NOT NULL THEN cases.id WHEN kind IN (0, 1, 4) THEN docs.id END AS "case",
   CASE WHEN kind <= 3 AND cases.id IS NOT NULL THEN ['filename', 'filename (normalised)', 'manifest alias', 'file contents'][kind + 1] WHEN kind IN (0, 1, 4) AND docs.id IS NOT NULL THEN 'document number' END AS how
   FROM files LEFT JOIN cases ON files.k = cases.k LEFT JOIN docs ON files.doc = docs.doc)
-SELECT DISTINCT file, "case", how FROM hit""")
+SELECT file, "case", how FROM hit""")
 def match_cases(spark, sf_dir):
     files, cases = upload_files(spark, sf_dir)
-    return match.match_cases(files, cases).select("file", "case", "how").distinct()
+    return match.match_cases(files, cases).select("file", "case", "how")
 
 
 _GROUND = _JOINED + f""", users AS (SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS page FROM conversations WHERE role = 'user' GROUP BY 1),
@@ -474,11 +474,6 @@ def references_dedup(spark, sf_dir):
     return found.select(F.col("l_orderkey").alias("doc_id"), F.size("refs").alias("n_references"), F.get("refs", F.lit(0))["number"].alias("first"))
 
 
-@query()
-def repetition_flags(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", repetition.looks_repetitive(F.col("text")).alias("looped"), repetition.why_unparsable(F.col("text"), F.lit(False)).alias("why"))
-
-
 @query(r"""WITH raw AS (SELECT conv_id, string_agg('"label": "' || regexp_replace(coalesce(text, ''), '["\\]', ' ', 'g') || '"', ',' ORDER BY turn, text) AS raw FROM conversations GROUP BY conv_id),
 e AS (SELECT conv_id, unnest(regexp_extract_all(raw, '"(?:description|label)"\s*:\s*"([^"]{12,})"', 1)) AS entry FROM raw)
 SELECT conv_id, md5(entry) AS entry, CAST(count(*) AS INTEGER) AS n FROM e GROUP BY ALL""")
