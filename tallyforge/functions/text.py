@@ -15,10 +15,13 @@ _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, rang
 
 
 def _form(kind: str):
+    """Only texts beyond ASCII cross to Python; the others are in every form already."""
+
     def normalised(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize(kind, t) if isinstance(t, str) and not t.isascii() else t)
+        return texts.map(lambda t: unicodedata.normalize(kind, t) if isinstance(t, str) else None)
 
-    return F.pandas_udf(normalised, "string")
+    made = F.pandas_udf(normalised, "string")
+    return lambda col: F.coalesce(made(F.when(col.rlike(r"[^\x00-\x7f]"), col)), col)
 
 
 def nfkc(col: Column) -> Column:

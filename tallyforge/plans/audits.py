@@ -250,7 +250,7 @@ def audited_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     total = (F.col("cents") / 100).cast("decimal(18,2)").cast("string")
     empty = [F.lit("").alias(c) for c in fixed.SCALARS if c not in ("document_type", "document_number", "issue_date", "currency", "subtotal")]
     fields = F.struct(
-        F.lit("TAX-INVOICE").alias("document_type"), text_of("NR-", k).alias("document_number"), F.when(k % 2 == 0, F.col("day")).otherwise("1 May 1801").alias("issue_date"), F.lit("-").alias("currency"),
+        F.lit("TAX-INVOICE").alias("document_type"), text_of("NR-", k).alias("document_number"), F.when(k % 2 == 0, F.col("day")).otherwise("some day in May").alias("issue_date"), F.lit("-").alias("currency"),
         one_of(k, total, total, F.lit("9876543210.98")).alias("subtotal"), *empty, F.transform("ls", lambda x: x["r"]).alias("line_items"), F.array(F.struct(F.lit("iban").alias("label"), F.lit("qqqq").alias("value"))).alias("other_fields"),
     )
     page = F.concat_ws("\n", F.lit("Tax invoice"), text_of("nr ", k), F.col("day"), F.array_join(F.transform("ls", lambda x: F.concat_ws(" ... ", x["r"]["description"], x["r"]["amount"])), "\n"), F.when(k % 3 == 0, text_of("Sum: ", total)))
