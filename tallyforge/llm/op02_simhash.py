@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyforge.llm.common import batch_of, binary_cells, forget, grouped, hashable, named, stored, table, unused
+from tallyforge.llm.common import batch_of, binary_cells, forget, grouped, hashable, named, stored, table, tidied, unused
 from tallyforge.llm.graph import components
 
 BITS, SEED, WORDS, RADIUS = 64, 42, 3, 2
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
             prints = [signed(fingerprint(t, words)) for t in binary_cells(batch.column(1))]
             yield batch_of(PRINTS, (batch.column(0).to_pylist(), prints))
 
-    return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(made, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(tidied(made), "doc_id long, fp long")
 
 
 class BKTree:
@@ -156,7 +156,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, limit: int = TREE_LIMIT)
         if more := large is not None and not large.isEmpty():
             hot = rows.join(large, ["block", "bits"], "left_semi")
             rows = rows.join(large, ["block", "bits"], "left_anti")
-        links = rows.repartition("block", "bits").sortWithinPartitions("block", "bits", "fp").mapInArrow(linked, "a long, b long")
+        links = rows.repartition("block", "bits").sortWithinPartitions("block", "bits", "fp").mapInArrow(tidied(linked), "a long, b long")
         out = links if out is None else out.unionByName(links)
         if not more:
             return out
@@ -256,7 +256,7 @@ def _group_links(sets: DataFrame, least: float) -> DataFrame:
             if found := copy_links([(key, _unsigned(fp), np.frombuffer(h, dtype="<u8")) for key, (fp, h) in kept.items()], least):
                 yield batch_of(LINKS, zip(*found))
 
-    return sets.repartition("group").sortWithinPartitions("group", "set").mapInArrow(linked, "a long, b long")
+    return sets.repartition("group").sortWithinPartitions("group", "set").mapInArrow(tidied(linked), "a long, b long")
 
 
 def _block_links(sets: DataFrame, least: float, pivots: int = PIVOTS) -> DataFrame:
@@ -303,7 +303,7 @@ def _block_links(sets: DataFrame, least: float, pivots: int = PIVOTS) -> DataFra
                 if found:
                     yield batch_of(LINKS, zip(*found))
 
-        new = stored(sets.mapInArrow(met, "a long, b long"))
+        new = stored(sets.mapInArrow(tidied(met), "a long, b long"))
         links = new if links is None else links.unionByName(new)
         asked_now = sets.sparkSession.createDataFrame([(k,) for k in asked], "`set` long")
         done = stored(asked_now if done is None else done.unionByName(asked_now))
@@ -324,7 +324,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", least: float = SIM
     source = whole.select(F.col(key).alias("doc_id"), F.col(mark).alias("text_hash"), named(text).alias("text"))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             rows = []
             for doc_id, text_hash, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_cells(batch.column(2))):
                 hashes = np.unique(shingle_hashes(t, COPY_WORDS))
@@ -332,7 +332,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", least: float = SIM
             if rows:
                 yield batch_of(COPIES, zip(*rows))
 
-    prints = stored(source.mapInArrow(printed, "doc_id long, text_hash long, `set` long, fp long, bands array<long>"))
+    prints = stored(source.mapInArrow(tidied(printed), "doc_id long, text_hash long, `set` long, fp long, bands array<long>"))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     classes = stored(prints.groupBy("set").agg(F.min(row).alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     banded = classes.select("set", F.explode("bands").alias("band"))
@@ -348,7 +348,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", least: float = SIM
     shown = classes.join(groups, F.col("set") == F.col("node")).select(F.col("component").alias("group"), "set", "fp", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_text"))
     known = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_text"))
     large = stored(groups.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("group"))
-    sets = lambda shown: source.join(shown, known).select("group", "set", "fp", "text").mapInArrow(hashed, SETS_DDL)
+    sets = lambda shown: source.join(shown, known).select("group", "set", "fp", "text").mapInArrow(tidied(hashed), SETS_DDL)
     if large.isEmpty():
         links = _group_links(sets(shown), least)
     else:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import batch_of, named, plain, remainder, smallest_hashed, table
+from tallyforge.llm.common import batch_of, named, plain, remainder, smallest_hashed, table, tidied
 
 SEED = 3
 #: The bounds of the sample that is learnt from: documents a language, documents and bytes of dictionaries in all, and bytes a dictionary.
@@ -72,7 +72,7 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", sample
     # at most `rows` broadcast; one text a doc_id and language, cut where it lies, is collected
     texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found: dict[str, list[bytes]] = {}
-    for row in sorted(texts.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, text binary").collect(), key=lambda r: (r.lang, r.doc_id)):
+    for row in sorted(texts.select("doc_id", "lang", "text").mapInArrow(tidied(cut), "doc_id long, lang string, text binary").collect(), key=lambda r: (r.lang, r.doc_id)):
         found.setdefault(row.lang, []).append(bytes(row.text))
     made = {}
     for name, held in found.items():
@@ -133,7 +133,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, text: str = "text", lang: s
             if rows:
                 yield batch_of(OUT, (batch.column(0).to_pylist(), *zip(*rows)))
 
-    return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(judged, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(tidied(judged), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def drop_unidentified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
@@ -145,9 +145,9 @@ def drop_unidentified(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Classifier(held.value)
         for batch in batches:
-            yield batch.filter(pa.array([known.judge(t)[2] for t in batch.column(at).to_pylist()], type=pa.bool_()))
+            yield batch.filter(pa.array([known.judge(t.as_py())[2] for t in batch.column(at)], type=pa.bool_()))
 
-    return rows.mapInArrow(judged, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidied(judged), rows.schema).toDF(*docs.columns)
 
 
 def op3_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

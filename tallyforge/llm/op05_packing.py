@@ -3,30 +3,39 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import batch_of, named, stored, table
+from tallyforge.llm.common import batch_of, give_back, named, stored, table, tidied
 
 LENGTH, END = 2048, 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that one task packs together. What a group leaves open at its end is a few sequences at most.
 GROUP = 5_000
 #: Words whose ids a task remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: Documents that a task takes at a time.
 ROWS_AT_ONCE = 500
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("group", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, `group` long"
 
 
+def special_names(path: str) -> list[str]:
+    """Texts of the tokens that a tokenizer's file adds to its vocabulary, which stands after them and is not read."""
+    with open(path, encoding="utf-8") as f:
+        head = f.read(1 << 16)
+    at = head.index("[", head.index('"added_tokens"'))
+    return [token["content"] for token in json.JSONDecoder().raw_decode(head, at)[0]]
+
+
 class Encoder:
     """Token ids of a text as ``tokenizers`` gives them, as little-endian unsigned 32-bit numbers. Names of special tokens are those tokens.
 
@@ -41,15 +50,20 @@ class Encoder:
 
     def __init__(self, path: str, ranks: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=known, special_tokens={})
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.special = re.compile("|".join(map(re.escape, special_names(path))) or r"(?!)")
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -114,9 +128,10 @@ def token_pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
                     rows.append((doc_id, piece, start, n, zlib.crc32(part), planes(part) if keep_ids else None, turn % groups))
             if rows:
                 yield batch_of(PIECES, zip(*rows))
-        encode.known.clear()  # the worker outlives its task
+        encode.known.clear()
+        encoder.cache_clear()  # the worker outlives its task
 
-    return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(made, PIECES_DDL)
+    return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(tidied(made), PIECES_DDL)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +191,8 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, leng
         t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("start", "ascending")])
         bins, offsets = pack_lengths(t.column("length").to_numpy(), length)
         first = t.column("group")[0].as_py() << 32
-        ids = pa.array([unplaned(x) if x is not None else None for x in t.column("ids").to_pylist()], pa.binary())
+        ids = pa.array((unplaned(x.as_py()) if x.is_valid else None for x in t.column("ids")), pa.binary())
+        give_back()
         return pa.table([*(t.column(n) for n in schema.names[:5]), pa.array(bins + first), pa.array(offsets), ids], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"

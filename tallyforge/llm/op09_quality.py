@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyforge.llm.common import batch_of, binary_cells, named, one_label, remainder, smallest_hashed, table
+from tallyforge.llm.common import batch_of, binary_cells, named, one_label, remainder, smallest_hashed, table, tidied
 
 SEED = 9
 #: The bounds of the sample that the field is fitted on: labelled documents, those whose hashed ids are smallest, and lines in all.
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = L
                     yield batch_of(schema, ([doc_id], [own.tobytes()], [n.tobytes()]))
 
     # at most `lines` lines of OWN + 1 numbers
-    rows = sorted(texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(described, "doc_id long, own binary, sizes binary").collect(), key=lambda r: r.doc_id)
+    rows = sorted(texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(described), "doc_id long, own binary, sizes binary").collect(), key=lambda r: r.doc_id)
     teaching = [(with_neighbours(np.frombuffer(r.own).reshape(-1, OWN)), np.frombuffer(r.sizes)) for r in rows]
     return LineField().fit(teaching, np.array([drawn[r.doc_id] == 1 for r in rows], dtype=bool))
 
@@ -248,7 +248,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
                 part = batch.slice(at, 500)
                 yield batch_of(OUT, (part.column(0).to_pylist(), held.value.score(binary_cells(part.column(1)))))
 
-    return docs.mapInArrow(scored, "doc_id long, score double")
+    return docs.mapInArrow(tidied(scored), "doc_id long, score double")
 
 
 def op9_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

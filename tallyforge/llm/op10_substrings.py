@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyforge.llm.common import batch_of, binary_cells, named, plain, table, unused
+from tallyforge.llm.common import batch_of, binary_cells, named, plain, table, tidied, unused
 
 WIDTH = 13
 #: Words of the grams by whose counts windows are estimated.
@@ -196,7 +196,7 @@ def sketch(docs: DataFrame, width: int, cells: int) -> np.ndarray:
                 yield batch_of(schema, ([k], [b""], [zstandard.compress(two.tobytes(), 1)]))
 
     ddl = "part int, one binary, two binary"
-    parts = docs.select("doc_id", "text").mapInArrow(counted, ddl).repartition("part").mapInArrow(merged, ddl).select("part", "two")
+    parts = docs.select("doc_id", "text").mapInArrow(tidied(counted), ddl).repartition("part").mapInArrow(tidied(merged), ddl).select("part", "two")
     bits = np.zeros(ROWS * cells // 8, dtype=np.uint8)
     for row in parts.collect():
         bits[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(zstandard.decompress(row.two), dtype=np.uint8)
@@ -245,7 +245,7 @@ def windows_by_broadcast(docs: DataFrame, width: int, cells: int) -> DataFrame:
             seen = [Counters.has(bits[k], _cells(keys, k, cells)) for k, keys in enumerate(chunk.keys())]
             yield from open_windows(chunk, np.flatnonzero(np.logical_and.reduce(seen)), width)
 
-    return docs.select("doc_id", "text").mapInArrow(estimated, WINDOWS_DDL)
+    return docs.select("doc_id", "text").mapInArrow(tidied(estimated), WINDOWS_DDL)
 
 
 def windows_by_parts(docs: DataFrame, n_bytes: int, width: int, cells: int) -> DataFrame:
@@ -339,9 +339,9 @@ def windows_by_parts(docs: DataFrame, n_bytes: int, width: int, cells: int) -> D
 
     columns = "`group` long, kind int, a long, b long, data binary"
     sorted_ = lambda df, *by: df.repartition(by[0]).sortWithinPartitions(*by)
-    wanted = sorted_(dealt, "group", "a", "b").mapInArrow(asking, "part long, `group` long, turn long, cells binary, two binary")
-    replies = sorted_(wanted, "part", "group", "turn").mapInArrow(answering, columns)
-    return sorted_(dealt.unionByName(replies), "group", "kind", "a", "b").mapInArrow(estimated, WINDOWS_DDL)
+    wanted = sorted_(dealt, "group", "a", "b").mapInArrow(tidied(asking), "part long, `group` long, turn long, cells binary, two binary")
+    replies = sorted_(wanted, "part", "group", "turn").mapInArrow(tidied(answering), columns)
+    return sorted_(dealt.unionByName(replies), "group", "kind", "a", "b").mapInArrow(tidied(estimated), WINDOWS_DDL)
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, cells: int | None = None, most: int = BROADCAST_CELLS) -> DataFrame:
@@ -412,7 +412,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, cells: int | None = Non
             columns[text_at] = pa.array(texts, type=pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=schema.names)
 
-    return rows.mapInArrow(cleaned, schema).toDF(*docs.columns, *counts)
+    return rows.mapInArrow(tidied(cleaned), schema).toDF(*docs.columns, *counts)
 
 
 def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -437,7 +437,7 @@ def digests_of_kept(docs: DataFrame, width: int = WIDTH, cells: int | None = Non
             if found:
                 yield batch_of(schema, (batch.column(0).to_pylist(), *zip(*found)))
 
-    return rows.mapInArrow(digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(tidied(digested), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
