@@ -265,7 +265,7 @@ def _block_links(sets: DataFrame, least: float, pivots: int = PIVOTS) -> DataFra
     text take a round or two: all pairs of texts of different classes have one end there, and each is asked about once."""
     sets = stored(sets.dropDuplicates(["group", "set"]))
     sizes = sets.select("group", "set", F.octet_length("hashes").alias("size"))
-    links, done, turn = None, None, 1
+    links, done, turn = None, None, 16
     while True:
         labels = sizes.withColumn("label", F.col("set"))
         if links is not None:
@@ -307,7 +307,7 @@ def _block_links(sets: DataFrame, least: float, pivots: int = PIVOTS) -> DataFra
         links = new if links is None else links.unionByName(new)
         asked_now = sets.sparkSession.createDataFrame([(k,) for k in asked], "`set` long")
         done = stored(asked_now if done is None else done.unionByName(asked_now))
-        turn = min(4 * turn, pivots)
+        turn = min(8 * turn, pivots)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", least: float = SIMILARITY, limit: int = GROUP_LIMIT) -> DataFrame:
