@@ -35,9 +35,10 @@ def evaluate_transcripts(truth: DataFrame, read: DataFrame, ignore_tables: bool
 
 def judge_scalars(truth: DataFrame, fields: DataFrame, doc: str = "doc_id") -> DataFrame:
     """truth(doc, key, readings) beside the value that was extracted for the key: (doc, path, expected, actual, status, tier). A key without
-    a truth row is not checked; a document without an extraction has missed everything."""
+    a truth row is not checked; a document without an extraction has missed everything. The planner takes the exploded values to be as small
+    as their file and would broadcast them, so the join is named."""
     values = fields.select(doc, F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"fields.{k}").alias("value")) for k in fixed.SCALARS))).alias("v")).select(doc, "v.*")
-    rows = truth.join(values, [doc, "key"], "left")
+    rows = truth.join(values.hint("merge"), [doc, "key"], "left")
     ready = rows.withColumn("_actual", nfkc(F.coalesce("value", F.lit(""))))
     best = judge_best(F.col("readings"), F.col("_actual"))
     tier = F.when(F.col("key").isin(*fixed.SCALARS), "p1").otherwise("p3")
@@ -54,7 +55,7 @@ def score_fields(truth: DataFrame, fields: DataFrame, transcripts: DataFrame | N
     judged = judge_scalars(truth, fields, doc).withColumn("kind", F.lit("scalar"))
     if transcripts is not None:
         judged = judged.unionByName(judge_items(tables.find_tables(transcripts, doc), fields, doc))
-    overall = scores.tally(judged, doc).join(judged.groupBy(doc).agg(F.count_if(F.col("kind") == "scalar").alias("checked")), doc)
+    overall = judged.groupBy(doc).agg(*scores.tally_columns(F.col("status")), F.count_if(F.col("kind") == "scalar").alias("checked"))
     return judged, overall
 
 

@@ -36,6 +36,14 @@ def test_fields_against_truth(spark, fields, pages):
     assert text.startswith("4 of 7 correct: 57.14 %") and text.endswith("and 2 more")
 
 
+def test_exploded_values_are_never_broadcast(spark, fields):
+    truth = spark.createDataFrame([(1, "document_type", ["Tax Invoice"])], "doc_id int, key string, readings array<string>")
+    judged, tallies = evaluate.score_fields(truth, fields)
+    for frame in (judged, tallies):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 1
+
+
 def test_whole_truth_files_against_extractions(spark, tmp_path):
     page = "| Charge | Amount |\n|---|---|\n| Room | 100.00 |\n"
     files = {
