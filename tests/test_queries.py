@@ -40,7 +40,7 @@ def test_a_query_agrees_with_its_sql(spark, sql, name):
     assert cells(ours) == cells(theirs)
 
 
-@pytest.mark.parametrize("name", ["ungrounded_answers"])
+@pytest.mark.parametrize("name", ["ungrounded_answers", "audit_orders"])
 def test_digits_of_keys_and_dates_are_no_totals(spark, tmp_path, name):
     """Totals that the page's other digits have: in the number and date, in the line's number and amount, as the year, as a lot's number."""
     day = pd.Timestamp("1997-01-25")
