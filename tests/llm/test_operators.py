@@ -459,6 +459,27 @@ def test_verdicts_against_brute_force(spark):
     assert again[1] == limit
 
 
+def test_the_forest_is_fitted_on_all_labelled_rows(spark):
+    """Of 4,500 labelled rows the last 500 by id are unlike the others: box, threshold and trees know them."""
+    rng = np.random.default_rng(8)
+    x = np.abs(rng.normal(1, 0.2, (4500, op07_rules.FEATURES)))
+    x[4000:] += 5
+    x[:30, 3] = 0.0
+    rows = [(i, 60, 1, 0, 0, 0, False, v) for i, v in enumerate(x.tolist())]
+    docs = spark.createDataFrame(rows, op07_rules.MEASURED_DDL)
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(4500)], "doc_id long, quality int")
+    asked = [(f, share) for f in range(op07_rules.FEATURES) for share in (0.0, 0.002, 0.37, 0.998, 1.0)]
+    assert op07_rules.quantiles(docs, 4500, asked).tolist() == [np.quantile(x[:, f], share) for f, share in asked]
+    forest, limit = op07_rules.fit_measured(docs, labels)
+    good = x[np.arange(4500) % 9 > 0]
+    assert limit == np.quantile(forest.score(good), op07_rules.KEEP_GOOD) + op07_rules.MARGIN
+    samples = op07_rules.samples_of_trees(docs.repartition(5))
+    assert [s.shape for s in samples] == [(op07_rules.SUBSAMPLE, op07_rules.FEATURES)] * op07_rules.TREES
+    drawn = {tuple(v) for s in samples for v in s.tolist()}
+    assert len(drawn) > 4450 and drawn <= set(map(tuple, x.tolist()))
+    assert all((a == b).all() for a, b in zip(samples, op07_rules.samples_of_trees(docs.coalesce(1))))
+
+
 def test_path_lengths_of_a_forest():
     rng = np.random.default_rng(2)
     rows = rng.normal(0, 1, (400, 3))
