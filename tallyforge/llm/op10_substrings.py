@@ -9,13 +9,14 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyforge.llm.common import batch_of, binary_cells, named, plain, table, tidied, unused
+from tallyforge.llm.common import batch_of, binary_cells, named, plain, stored, table, tidied, unused
 
 WIDTH = 13
 #: Words of the grams by whose counts windows are estimated.
@@ -32,6 +33,8 @@ GROUP_BYTES, CHUNKS = 64 << 20, 8
 CHUNK = 1 << 16
 #: Words whose hashes a task remembers, and documents whose texts it unpacks at a time.
 MEMORY, ROWS_AT_ONCE = 1 << 16, 256
+#: Bits for each row with repeats, of the filter that tells which rows may have some; how many in all, at most.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 30
 #: Bits of a text's checksum that tell rows of one doc_id apart.
 MARK = (1 << 30) - 1
 _M1, _M2, _M3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
@@ -366,13 +369,35 @@ def kept_words(words: list[bytes], at: np.ndarray, n: np.ndarray, width: int = W
     return [w for w, covered in zip(words, np.cumsum(depth).tolist()) if not covered]
 
 
+def _maybe_found(found: DataFrame):
+    """A test of (key, mark), as a column, that holds for all rows of ``found`` and for one in FILTER_BITS others or so: a bitmap of hashes, of
+    MOST_FILTER_BITS at most. Beyond that more others pass; none is lost."""
+    bits = max(1 << 16, min(MOST_FILTER_BITS, 1 << (FILTER_BITS * found.count()).bit_length()))
+    place = lambda key, mark: F.xxhash64(key, mark).bitwiseAND(F.lit(bits - 1))
+    at = found.select(place(F.col("key"), F.col("mark")).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 64, dtype=np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    held = found.sparkSession.sparkContext.broadcast(bitmap)
+
+    def has(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((held.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    asked = F.pandas_udf(has, "boolean")
+    return lambda key, mark: asked(place(key, mark))
+
+
 def _with_spans(docs: DataFrame, width: int, cells: int | None, most: int) -> DataFrame:
-    """docs, with plain names, and a last column, the repeated windows of the row's text."""
+    """docs, with plain names, and a last column, the repeated windows of the row's text. Only rows that may have some are shuffled to meet them."""
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = repeated_windows(known, width, cells, most).select(F.col("doc_id").alias("key"), "mark", "spans")
+    found = stored(repeated_windows(known, width, cells, most).select(F.col("doc_id").alias("key"), "mark", "spans"), "zstd")
     own = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(MARK)).cast("int")
-    rows = docs.withColumn("key", F.col("doc_id").cast("long")).withColumn("mark", own)
-    return rows.join(found, ["key", "mark"], "left").select(*docs.columns, "spans")
+    maybe = _maybe_found(found)
+    rows = docs.withColumn("key", F.col("doc_id").cast("long")).withColumn("mark", own).withColumn("maybe", maybe(F.col("key"), F.col("mark")))
+    none = F.lit(None).cast(found.schema["spans"].dataType)
+    with_some = rows.filter("maybe").join(found, ["key", "mark"], "left").select(*docs.columns, "spans")
+    return rows.filter("not maybe").select(*docs.columns, none.alias("spans")).unionByName(with_some)
 
 
 def _judged(batch: pa.RecordBatch, text_at: int, spans_at: int, width: int) -> Iterator[tuple[bytes | None, list[bytes], list[bytes]]]:

@@ -641,6 +641,17 @@ def test_quality_of_odd_rows(odd, empty, labels):
 # ---- 10: passages ----------------------------------------------------------------------------------------------------------
 
 
+def test_only_rows_that_may_have_repeats_meet_them(spark):
+    found = spark.createDataFrame([(i, 7 * i % 1000) for i in range(0, 4000, 2)], "key long, mark int")
+    maybe = op10_substrings._maybe_found(found)
+    rows = spark.createDataFrame([(i, 7 * i % 1000) for i in range(4000)] + [(None, 3)], "key long, mark int").withColumn("maybe", maybe(F.col("key"), F.col("mark"))).collect()
+    assert all(r.maybe for r in rows if r.key is not None and r.key % 2 == 0)
+    assert sum(r.maybe for r in rows if r.key is None or r.key % 2) < 300
+    texts = [prose(1, 60), prose(1, 60) + " end", *(prose(i, 60) for i in range(2, 40)), None, ""]
+    got = {r.doc_id: r for r in op10_substrings.digests_of_kept(documents(spark, texts)).collect()}
+    assert len(got) == len(texts) and [i for i, r in got.items() if r.n_removed] == [1] and got[1].n_removed == 60
+
+
 def brute_kept(rows, width=13):
     first = {}
     split = [(i, (t or "").encode().split()) for i, t in rows]
