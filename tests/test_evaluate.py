@@ -44,6 +44,13 @@ def test_exploded_values_are_never_broadcast(spark, fields):
         assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 1
 
 
+def test_values_meet_their_truth_unexploded(spark, fields):
+    truth = spark.createDataFrame([(1, "document_type", ["Tax Invoice"]), (1, "no such key", ["x"]), (77, "subtotal", ["5"])], "doc_id int, key string, readings array<string>")
+    judged = evaluate.judge_scalars(truth, fields.unionByName(fields))
+    assert "Generate" not in judged._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.path) for r in judged.collect()) == [(1, "document_type"), (1, "document_type"), (1, "no such key"), (77, "subtotal")]
+
+
 def test_whole_truth_files_against_extractions(spark, tmp_path):
     page = "| Charge | Amount |\n|---|---|\n| Room | 100.00 |\n"
     files = {
