@@ -12,6 +12,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.llm.common import batch_of, give_back, named, stored, table, tidied
@@ -25,6 +26,7 @@ CACHE = 150_000
 #: Documents that a task takes at a time.
 ROWS_AT_ONCE = 500
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("group", pa.int64())])
+PACKED = pa.schema([*(f for f in PIECES if f.name not in ("ids", "group")), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, `group` long"
 
 
@@ -173,6 +175,26 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return as_is
 
 
+def packed_group(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of one group with their places, a few rows at a time. Only what places follow from is sorted, so the ids, which are nearly all
+    of a group, are held once."""
+    held = list(batches)
+    keys = pa.Table.from_batches([b.select([n for n in b.schema.names if n != "ids"]) for b in held])
+    order = pc.sort_indices(keys, sort_keys=[(n, "ascending") for n in ("doc_id", "piece", "ids_crc32", "start")]).to_numpy()
+    bins, offsets = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+    bins[order], offsets[order] = pack_lengths(keys.column("length").to_numpy()[order], length)
+    bins += keys.column("group")[0].as_py() << 32
+    at = 0
+    while held:
+        batch = held.pop(0)
+        for rows in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            here = slice(at, at := at + rows.num_rows)
+            ids = pa.array((unplaned(x.as_py()) if x.is_valid else None for x in rows.column("ids")), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in PACKED.names[:5]), pa.array(bins[here]), pa.array(offsets[here]), ids], schema=PACKED)
+    batch = rows = ids = None
+    give_back()
+
+
 def pack(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, end: int = END, group: int = GROUP, keep_ids: bool = True) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves if asked for.
 
@@ -185,15 +207,9 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, leng
     n = docs.agg(F.count("*") + F.coalesce(F.sum(F.floor(F.octet_length(named(text)) / length)), F.lit(0))).first()[0]
     groups = max(1, -(-n // group))
     pieces = token_pieces(docs, text, vocabulary, length, end, groups, keep_ids)
-    schema = pa.schema([*(f for f in PIECES if f.name not in ("ids", "group")), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-
-    def packed(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("start", "ascending")])
-        bins, offsets = pack_lengths(t.column("length").to_numpy(), length)
-        first = t.column("group")[0].as_py() << 32
-        ids = pa.array((unplaned(x.as_py()) if x.is_valid else None for x in t.column("ids")), pa.binary())
-        give_back()
-        return pa.table([*(t.column(n) for n in schema.names[:5]), pa.array(bins + first), pa.array(offsets), ids], schema=schema)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed_group(batches, length)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
     out = pieces.groupBy("group").applyInArrow(packed, ddl)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -299,6 +300,18 @@ def test_ids_are_those_of_the_tokenizer():
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_group_of_pieces_holds_its_ids_once():
+    ids = np.arange(2048, dtype="<u4").tobytes()
+    n = 4_000
+    group = op05_packing.batch_of(op05_packing.PIECES, zip(*((n - i, 0, 0, 2048 - i % 2 * 1000, i, op05_packing.planes(ids), 3) for i in range(n))))
+    before = pa.total_allocated_bytes()
+    most, rows = 0, 0
+    for batch in op05_packing.packed_group(iter([group]), 2048):
+        most, rows = max(most, pa.total_allocated_bytes() - before), rows + batch.num_rows
+        assert set(batch.column("ids").to_pylist()) == {ids} and all(s >> 32 == 3 for s in batch.column("sequence_id").to_pylist())
+    assert rows == n and most < group.nbytes / 2
+
+
 def test_packed_pieces_give_back_every_document(spark, odd, empty):
     from tallyforge.llm.op05_packing import encoder, VOCABULARY
 
