@@ -14,6 +14,8 @@ from tallyforge.sources.readers import layout_blocks, layout_text
 
 #: Rows of a report that are shown.
 SHOWN = 40
+#: Parts, at least, that truth and values are dealt to where they meet.
+PARTS = 200
 
 
 def finish_pages(pages: DataFrame, raw: str = "raw") -> DataFrame:
@@ -36,10 +38,12 @@ def evaluate_transcripts(truth: DataFrame, read: DataFrame, ignore_tables: bool
 def judge_scalars(truth: DataFrame, fields: DataFrame, doc: str = "doc_id") -> DataFrame:
     """truth(doc, key, readings) beside the value that was extracted for the key: (doc, path, expected, actual, status, tier). A key without
     a truth row is not checked; a document without an extraction has missed everything. A truth row meets the document's values as one
-    array and takes its own, so values are never exploded. The planner takes a small file's rows to be few and would broadcast them, so the join is named."""
+    array and takes its own, so values are never exploded. The planner takes a small file's rows to be few and would broadcast them, so the join is named.
+    Shuffled rows are packed, and parts that are put together by their packed size can be too large to sort in little memory, so their number is fixed."""
     values = fields.select(F.col(doc).alias("_doc"), F.array(*(F.col(f"fields.{k}") for k in fixed.SCALARS)).alias("_values"))
     own = F.get("_values", F.array_position(F.array(*map(F.lit, fixed.SCALARS)), F.col("key")) - 1)
-    rows = truth.join(values.hint("merge"), (F.col(doc) == F.col("_doc")) & F.col("key").isin(*fixed.SCALARS), "left").withColumn("value", own)
+    parts = max(PARTS, int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = truth.join(values.repartition(parts, "_doc").hint("merge"), (F.col(doc) == F.col("_doc")) & F.col("key").isin(*fixed.SCALARS), "left").withColumn("value", own)
     ready = rows.withColumn("_actual", nfkc(F.coalesce("value", F.lit(""))))
     best = judge_best(F.col("readings"), F.col("_actual"))
     tier = F.when(F.col("key").isin(*fixed.SCALARS), "p1").otherwise("p3")

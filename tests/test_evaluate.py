@@ -1,6 +1,7 @@
 """Whole evaluations over small cases."""
 
 import json
+import re
 
 import pytest
 
@@ -51,6 +52,12 @@ def test_values_meet_their_truth_unexploded(spark, fields):
     assert sorted((r.doc_id, r.path) for r in judged.collect()) == [(1, "document_type"), (1, "document_type"), (1, "no such key"), (77, "subtotal")]
 
 
+def test_parts_where_values_meet_truth_are_not_put_together(spark, fields):
+    truth = spark.createDataFrame([(1, "document_type", ["Tax Invoice"])], "doc_id int, key string, readings array<string>")
+    plan = evaluate.judge_scalars(truth, fields)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and len(re.findall(rf"hashpartitioning\(\w+#\d+, {evaluate.PARTS}\)", plan)) == 2
+
+
 def test_whole_truth_files_against_extractions(spark, tmp_path):
     page = "| Charge | Amount |\n|---|---|\n| Room | 100.00 |\n"
     files = {
