@@ -21,8 +21,8 @@ LENGTH, END = 2048, 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that one task packs together. What a group leaves open at its end is a few sequences at most.
 GROUP = 5_000
-#: Words whose ids a task remembers.
-CACHE = 150_000
+#: Length of a run of white space from which a text goes to ``tokenizers``: ``tiktoken`` fails at a million.
+RUN = 100_000
 #: Documents that a task takes at a time.
 ROWS_AT_ONCE = 500
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("group", pa.int64())])
@@ -41,14 +41,12 @@ def special_names(path: str) -> list[str]:
 class Encoder:
     """Token ids of a text as ``tokenizers`` gives them, as little-endian unsigned 32-bit numbers. Names of special tokens are those tokens.
 
-    The byte-level vocabulary never joins what stands before a space and after it, nor two words at a line break: of the
-    white space between two words only a last space belongs to the word after it. So a text is cut there, and the ids of each part
-    are remembered; they are those of the whole text. ``tiktoken`` has the same vocabulary as ranks and takes a short part in a sixth of
-    the time, so it is asked for parts; texts with a special token or odd white space go to ``tokenizers`` whole.
+    ``tiktoken`` has the same vocabulary as ranks and takes a whole text in less time than it takes to look its words up among remembered
+    ones, so it is asked for texts; those with a special token, with odd white space or with a run of white space that is too long for it go to ``tokenizers``.
     """
 
-    _parts = re.compile(r" ?\S+|\s+(?!\S)|\s")
-    _odd = re.compile(r"[\x1c-\x1f\u180e]")  # white space to one side only
+    _odd = "\x1c\x1d\x1e\x1f\u180e"  # white space to one side only
+    _run = re.compile(rf"\s{{{RUN}}}")
 
     def __init__(self, path: str, ranks: str, pattern: str):
         import tiktoken
@@ -58,7 +56,6 @@ class Encoder:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=known, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special_names(path))) or r"(?!)")
-        self.known: dict[str, bytes] = {}
 
     @cached_property
     def tokenizer(self):
@@ -70,23 +67,13 @@ class Encoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def part(self, text: str) -> bytes:
-        ids = self.encoding.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def __call__(self, text: str) -> bytes:
-        if self._odd.search(text) or self.special.search(text):
+        if any(c in text for c in self._odd) or self.special.search(text):
             return self.whole(text)
-        parts, known = self._parts.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self.part(p)
-            return b"".join([known[p] for p in parts])
+        if len(text) > RUN and self._run.search(text):
+            return self.whole(text)
+        ids = self.encoding.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
@@ -130,7 +117,6 @@ def token_pieces(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
                     rows.append((doc_id, piece, start, n, zlib.crc32(part), planes(part) if keep_ids else None, turn % groups))
             if rows:
                 yield batch_of(PIECES, zip(*rows))
-        encode.known.clear()
         encoder.cache_clear()  # the worker outlives its task
 
     return docs.select(F.col("doc_id").cast("long"), named(text)).mapInArrow(tidied(made), PIECES_DDL)

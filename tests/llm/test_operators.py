@@ -288,6 +288,12 @@ def test_gradients_lower_the_loss():
 # ---- 5: packing ------------------------------------------------------------------------------------------------------------
 
 
+def test_ids_of_a_very_long_run_of_white_space():
+    encode = op05_packing.encoder("byte_bpe_50k.json")
+    text = " " * 1_000_000 + "x y"
+    assert encode(text) == encode.whole(text)
+
+
 def test_ids_are_those_of_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
