@@ -8,7 +8,7 @@ from tallyforge.functions import fixed
 from tallyforge.functions.judge import judge_best
 from tallyforge.functions.numbers import percent
 from tallyforge.functions.repetition import looks_repetitive
-from tallyforge.functions.text import clip, is_blank, nfkc, normalise, normalise_output, squash_normalised, strip_fence
+from tallyforge.functions.text import clip, is_blank, nfkc_each, normalise, normalise_output, squash_normalised, strip_fence
 from tallyforge.operators import grounding, match, scores, tables, vat
 from tallyforge.sources.readers import layout_blocks, layout_text
 
@@ -39,15 +39,16 @@ def judge_scalars(truth: DataFrame, fields: DataFrame, doc: str = "doc_id") -> D
     """truth(doc, key, readings) beside the value that was extracted for the key: (doc, path, expected, actual, status, tier). A key without
     a truth row is not checked; a document without an extraction has missed everything. A truth row meets the document's values as one
     array and takes its own, so values are never exploded. The planner takes a small file's rows to be few and would broadcast them, so the join is named.
+    Values are folded before they meet their truth: fewer rows cross to Python, and what follows by document needs no further shuffle.
     Shuffled rows are packed, and parts that are put together by their packed size can be too large to sort in little memory, so their number is fixed."""
-    values = fields.select(F.col(doc).alias("_doc"), F.array(*(F.col(f"fields.{k}") for k in fixed.SCALARS)).alias("_values"))
-    own = F.get("_values", F.array_position(F.array(*map(F.lit, fixed.SCALARS)), F.col("key")) - 1)
+    scalars = [F.col(f"fields.{k}") for k in fixed.SCALARS]
+    values = fields.select(F.col(doc).alias("_doc"), F.array(*scalars).alias("_values"), nfkc_each(*scalars).alias("_forms"))
+    own = lambda name: F.coalesce(F.get(name, F.array_position(F.array(*map(F.lit, fixed.SCALARS)), F.col("key")) - 1), F.lit(""))
     parts = max(PARTS, int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = truth.join(values.repartition(parts, "_doc").hint("merge"), (F.col(doc) == F.col("_doc")) & F.col("key").isin(*fixed.SCALARS), "left").withColumn("value", own)
-    ready = rows.withColumn("_actual", nfkc(F.coalesce("value", F.lit(""))))
-    best = judge_best(F.col("readings"), F.col("_actual"))
+    rows = truth.join(values.repartition(parts, "_doc").hint("merge"), (F.col(doc) == F.col("_doc")) & F.col("key").isin(*fixed.SCALARS), "left")
+    best = judge_best(F.col("readings"), own("_forms"))
     tier = F.when(F.col("key").isin(*fixed.SCALARS), "p1").otherwise("p3")
-    return ready.select(doc, F.col("key").alias("path"), best.alias("b"), F.coalesce("value", F.lit("")).alias("actual"), tier.alias("tier")).select(doc, "path", F.col("b.reading").alias("expected"), "actual", F.col("b.status").alias("status"), "tier")
+    return rows.select(doc, F.col("key").alias("path"), best.alias("b"), own("_values").alias("actual"), tier.alias("tier")).select(doc, "path", F.col("b.reading").alias("expected"), "actual", F.col("b.status").alias("status"), "tier")
 
 
 _ITEMS = "array<struct<" + ",".join(f"{k}:string" for k in fixed.ITEM_KEYS) + ">>"

@@ -58,6 +58,18 @@ def test_parts_where_values_meet_truth_are_not_put_together(spark, fields):
     assert "REPARTITION_BY_NUM" in plan and len(re.findall(rf"hashpartitioning\(\w+#\d+, {evaluate.PARTS}\)", plan)) == 2
 
 
+def test_values_are_folded_before_they_meet_their_truth(spark):
+    rows = [(1, fields_row(document_type="ＩＮＶＯＩＣＥ", document_number=None, subtotal="๑๒๐", currency="")), (2, fields_row(document_type="invoice"))]
+    fields = spark.createDataFrame(rows, FIELDS)
+    truth = spark.createDataFrame([(i, k, r) for i in (1, 2) for k, r in (("document_type", ["Invoice"]), ("document_number", ["17"]), ("subtotal", ["120"]), ("currency", [""]))], "doc_id int, key string, readings array<string>")
+    judged, tallies = evaluate.score_fields(truth, fields)
+    got = {(r.doc_id, r.path): (r.actual, r.status) for r in judged.collect()}
+    assert [got[1, k] for k in ("document_type", "document_number", "subtotal", "currency")] == [("ＩＮＶＯＩＣＥ", "correct"), ("", "missed"), ("๑๒๐", "correct"), ("", "absent")]
+    assert got[2, "document_type"] == ("invoice", "correct")
+    plan = tallies._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.index("SortMergeJoin") < plan.index("ArrowEvalPython")
+
+
 def test_whole_truth_files_against_extractions(spark, tmp_path):
     page = "| Charge | Amount |\n|---|---|\n| Room | 100.00 |\n"
     files = {
